@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from galeframe.functions import hour_number, add_hours
@@ -24,6 +24,17 @@ def hour_chunk(time: str, hours: int = CHUNK_HOURS) -> Column:
     return F.floor(hour_number(time) / F.lit(hours))
 
 
+def _chunked(df: DataFrame, keys: Sequence[str], time: str, hours: int) -> DataFrame:
+    """Labels the chunk and spreads rows by it.
+
+    The explicit repartition matters where the input is already partitioned by site alone:
+    that would satisfy a window over (site, chunk) and keep a hot site in one task.
+    """
+    if CHUNK in df.columns:
+        return df
+    return df.withColumn(CHUNK, hour_chunk(time, hours)).repartition(*keys, CHUNK)
+
+
 def number_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -31,14 +42,16 @@ def number_rows(
     name: str = "pos",
     hours: int = CHUNK_HOURS,
     order: Sequence[Column] = (),
+    keep_chunk: bool = False,
 ) -> DataFrame:
     """Adds the 0-based position of each row in its series, ordered by ``time`` then ``order``.
 
     Level 1 numbers rows inside an hour chunk; level 2 sums the row counts of the earlier
-    chunks. Both sides of the join are already partitioned by ``(keys, chunk)``.
+    chunks. ``keep_chunk`` leaves the chunk label in, so that a following operator of this
+    module goes on with the same partitioning.
     """
     keys = list(keys)
-    chunked = df.withColumn(CHUNK, hour_chunk(time, hours))
+    chunked = _chunked(df, keys, time, hours)
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     bases = (
         chunked.groupBy(*keys, CHUNK)
@@ -46,12 +59,13 @@ def number_rows(
         .select(*keys, CHUNK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     )
     inside = Window.partitionBy(*keys, CHUNK).orderBy(F.col(time), *order)
-    return (
+    numbered = (
         chunked.withColumn("_rank", F.row_number().over(inside))
         .join(bases, [*keys, CHUNK])
         .withColumn(name, F.col("_base") + F.col("_rank") - 1)
-        .drop("_base", "_rank", CHUNK)
+        .drop("_base", "_rank")
     )
+    return numbered if keep_chunk else numbered.drop(CHUNK)
 
 
 def known_neighbours(
@@ -72,47 +86,33 @@ def known_neighbours(
     the last known value of each chunk is carried over on a one-row-per-chunk table.
     """
     keys = list(keys)
-    chunked = df.withColumn(CHUNK, hour_chunk(time, hours)).withColumn("_known", known)
+    chunked = _chunked(df, keys, time, hours).withColumn("_known", known)
     by_time = [F.col(time), *order]
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(*by_time)
-    rank = F.struct(*by_time)
-    per_chunk = (
-        chunked.filter(F.col("_known").isNotNull())
-        .groupBy(*keys, CHUNK)
-        .agg(
-            F.max_by("_known", rank).alias("_last"),
-            F.min_by("_known", rank).alias("_first"),
-        )
+    at = F.when(
+        F.col("_known").isNotNull(), F.struct(F.struct(*by_time).alias("t"), F.col("_known"))
     )
-    # Chunks without a known row still have to receive the carried value.
-    all_chunks = chunked.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
-    across = Window.partitionBy(*keys).orderBy(CHUNK)
-    carried = all_chunks.join(per_chunk, [*keys, CHUNK], "left").select(
-        *keys,
-        CHUNK,
-        F.last("_last", ignorenulls=True)
-        .over(across.rowsBetween(Window.unboundedPreceding, -1))
-        .alias("_from_before"),
-        F.first("_first", ignorenulls=True)
-        .over(across.rowsBetween(1, Window.unboundedFollowing))
-        .alias("_from_after"),
+    across = Window.partitionBy(*keys)
+    carried = (
+        chunked.groupBy(*keys, CHUNK)
+        .agg(F.max(at).alias("_last"), F.min(at).alias("_first"))
+        .select(
+            *keys,
+            CHUNK,
+            _carry(F.col("_last")["_known"], across.orderBy(CHUNK), 1).alias("_from_before"),
+            _carry(F.col("_first")["_known"], across.orderBy(F.desc(CHUNK)), 1).alias(
+                "_from_after"
+            ),
+        )
     )
+    inside = Window.partitionBy(*keys, CHUNK)
     edge = 0 if inclusive else 1
     out = chunked
     if before:
-        out = out.withColumn(
-            "_in_before",
-            F.last("_known", ignorenulls=True).over(
-                inside.rowsBetween(Window.unboundedPreceding, -edge)
-            ),
-        )
+        forward = inside.orderBy(*by_time)
+        out = out.withColumn("_in_before", _carry(F.col("_known"), forward, edge))
     if after:
-        out = out.withColumn(
-            "_in_after",
-            F.first("_known", ignorenulls=True).over(
-                inside.rowsBetween(edge, Window.unboundedFollowing)
-            ),
-        )
+        backward = inside.orderBy(*[F.desc(c) for c in by_time])
+        out = out.withColumn("_in_after", _carry(F.col("_known"), backward, edge))
     out = out.join(carried, [*keys, CHUNK])
     if before:
         out = out.withColumn(before, F.coalesce("_in_before", "_from_before"))
@@ -121,8 +121,19 @@ def known_neighbours(
     return out.drop("_known", "_in_before", "_in_after", "_from_before", "_from_after", CHUNK)
 
 
+def _carry(known: Column, window: WindowSpec, edge: int) -> Column:
+    """Last known value on the way; a growing frame, linear in the number of rows."""
+    frame = window.rowsBetween(Window.unboundedPreceding, -edge)
+    return F.last(known, ignorenulls=True).over(frame)
+
+
 def spread_chunks(
-    df: DataFrame, axis: Column, span: int, before: int = 0, after: int = 0
+    df: DataFrame,
+    keys: Sequence[str],
+    axis: Column,
+    span: int,
+    before: int = 0,
+    after: int = 0,
 ) -> DataFrame:
     """Assigns rows to chunks of ``span`` axis units and copies edge rows to the neighbours.
 
@@ -146,6 +157,7 @@ def spread_chunks(
         .withColumn(CHUNK, F.explode(F.array_compact(F.array(*targets))))
         .withColumn("_own", F.col(CHUNK) == F.col("_home"))
         .drop("_home")
+        .repartition(*keys, CHUNK)
     )
 
 
@@ -165,7 +177,9 @@ def shifted(
     back = max([k for k in steps if k > 0], default=0)
     ahead = max([-k for k in steps if k < 0], default=0)
     span = max(span, back, ahead)
-    spread = spread_chunks(number_rows(df, keys, time, "_pos"), F.col("_pos"), span, back, ahead)
+    spread = spread_chunks(
+        number_rows(df, keys, time, "_pos"), keys, F.col("_pos"), span, back, ahead
+    )
     window = Window.partitionBy(*keys, CHUNK).orderBy("_axis")
     lags = [
         (F.lag(value, k) if k > 0 else F.lead(value, -k)).over(window).alias(_lag_name(prefix, k))
