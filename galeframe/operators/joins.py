@@ -137,7 +137,8 @@ def latest_run(runs: DataFrame, values: Sequence[str] = ("ws", "wd", "u", "v"))
 def longest_lead(features: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Per key and hour the row with the longest lead."""
     return features.groupBy(*keys).agg(
-        F.max("dist").alias("dist"), *[F.max_by(v, "dist").alias(v) for v in values]
+        F.max("dist").alias("dist"),
+        *[F.max_by(v, "dist").alias(v) for v in values if v != "dist"],
     )
 
 

@@ -25,7 +25,7 @@ def interval_pairs(df: DataFrame, quantiles: str = "q", lowest: int = 5) -> Data
         ),
     )
     kept = [c for c in df.columns if c != quantiles]
-    return df.select(*kept, F.explode(pairs).alias("_p")).select(*kept, "_p.*")
+    return df.select(*kept, F.explode_outer(pairs).alias("_p")).select(*kept, "_p.*")
 
 
 def interval_coverage(df: DataFrame, truth: str = "power", quantiles: str = "q") -> DataFrame:
@@ -42,7 +42,7 @@ def unroll_blocks(df: DataFrame, start: str, vector: str, value: str = "power")
     """A forecast vector per block to one row per hour ``start + 1 .. start + n``."""
     kept = [c for c in df.columns if c != vector]
     return (
-        df.select(*kept, F.posexplode(vector).alias("_p", value))
+        df.select(*kept, F.posexplode_outer(vector).alias("_p", value))
         .withColumn("date", add_hours(start, F.col("_p") + 1))
         .drop("_p")
     )
