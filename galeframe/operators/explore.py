@@ -121,27 +121,49 @@ def lag_correlation(
     value: str = "power",
 ) -> DataFrame:
     """Correlation of a series with its own past, by row position, one row per lag."""
-    lagged = shifted(df.select(*keys, time, value), keys, time, value, list(lags), "lag_")
-    one = lagged.groupBy(*keys).agg(*[F.corr(value, f"lag_{k}").alias(f"c_{k}") for k in lags])
-    return _as_rows(one, {k: [F.col(f"c_{k}")] for k in lags}, ["corr"], "lag", keys)
+    lags = list(lags)
+    lagged = shifted(df.select(*keys, time, value), keys, time, value, lags, "lag_")
+    pairs = F.array(
+        *[F.struct(F.lit(k).alias("lag"), F.col(f"lag_{k}").alias("_b")) for k in lags]
+    )
+    rows = lagged.select(*keys, F.col(value).alias("_a"), F.explode(pairs).alias("_p"))
+    return _correlated(rows.select(*keys, "_a", "_p.*"), [*keys, "lag"])
+
+
+def _correlated(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pearson correlation of columns ``_a`` and ``_b`` per group, over the rows that have
+    both; NULL where one of them is constant. One small aggregate per group, combined on the
+    map side, in place of hundreds of aggregate expressions over wide rows."""
+    both = pairs.filter(F.col("_a").isNotNull() & F.col("_b").isNotNull())
+    spread = F.nullif(F.stddev_pop("_a") * F.stddev_pop("_b"), F.lit(0.0))
+    return both.groupBy(*keys).agg((F.covar_pop("_a", "_b") / spread).alias("corr"))
 
 
 def correlation_matrix(
     df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Pearson correlation of every pair of columns, all in one aggregation."""
+    """Pearson correlation of every pair of columns, in one pass over a fixed list of pairs."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    one = df.groupBy(*keys).agg(
-        *[F.corr(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs]
-    )
-    entries = []
-    for a in columns:
-        for b in columns:
-            name = f"{a}|{b}" if (a, b) in pairs else f"{b}|{a}"
-            entries.append(
-                F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"`{name}`").alias("corr"))
+    entries = F.array(
+        *[
+            F.struct(
+                F.lit(n).alias("_n"),
+                F.col(a).cast("double").alias("_a"),
+                F.col(b).cast("double").alias("_b"),
             )
-    return one.select(*keys, F.explode(F.array(*entries)).alias("_e")).select(*keys, "_e.*")
+            for n, (a, b) in enumerate(pairs)
+        ]
+    )
+    rows = df.select(*keys, F.explode(entries).alias("_e")).select(*keys, "_e.*")
+    names = F.lit([a for a, _ in pairs]), F.lit([b for _, b in pairs])
+    upper = _correlated(rows, [*keys, "_n"]).select(
+        *keys, *[F.get(n, F.col("_n")).alias(c) for n, c in zip(names, "xy")], "corr"
+    )
+    sides = F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
+    both = F.when(F.col("x") == F.col("y"), F.slice(sides, 1, 1)).otherwise(sides)
+    return upper.select(*keys, F.explode_outer(both).alias("_s"), "corr").select(
+        *keys, "_s.x", "_s.y", "corr"
+    )
 
 
 def wind_rose(

@@ -70,14 +70,22 @@ def cut_windows(
         hit = own & whole
         return hit & (row["_axis"] % stride == 0) if stride > 1 else hit
 
-    indices = F.filter(F.sequence(F.lit(0), F.size("_rows") - 1), starts)
-    return packed.select(*keys, "_rows", F.explode(indices).alias("_i")).select(
-        *keys,
-        F.get("_rows", F.col("_i"))["_t"].alias("window_start"),
-        F.transform(
-            F.slice("_rows", F.col("_i") + 1, F.lit(length)),
+    def window(i: Column) -> Column:
+        steps = F.transform(
+            F.slice("_rows", i + 1, F.lit(length)),
             lambda r: F.struct(*[r[f"c{k}"].alias(c) for k, c in enumerate(columns)]),
-        ).alias("steps"),
+        )
+        return F.struct(F.get("_rows", i)["_t"].alias("window_start"), steps.alias("steps"))
+
+    # The windows of a chunk are built before they are unrolled, so that no output row
+    # carries a copy of the whole chunk.
+    found = F.transform(
+        F.filter(F.sequence(F.lit(0), F.size("_rows") - 1), starts), window
+    )
+    return (
+        packed.select(*keys, F.explode_outer(found).alias("_w"))
+        .filter(F.col("_w").isNotNull())
+        .select(*keys, "_w.window_start", "_w.steps")
     )
 
 
