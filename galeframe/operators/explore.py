@@ -253,6 +253,12 @@ def kde_grid(df: DataFrame, x: str, y: str, bins: int = 100) -> DataFrame:
         ).alias("s")
     )
     weighted = points.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_w"))
+    spread = max(
+        df.sparkSession.sparkContext.defaultParallelism,
+        int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+    )
+    # Few bytes but bins**2 kernels per row: keep adaptive coalescing from merging the tasks.
+    weighted = weighted.repartition(spread)
     placed = weighted.withColumn("_s", shape.scalar()).select("_x", "_y", "_w", "_s.*")
     cells = placed.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).withColumn(
         "_j", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))

@@ -25,15 +25,20 @@ def build_session(app: str = "galeframe", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` in shared storage, so a lost executor costs no replay.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, reachable by every executor.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only a session
-    without that setting (a local test) gets a folder of its own.
+    It is the one the session names in ``spark.checkpoint.dir``; only a session without that
+    setting (a local test) gets a folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="galeframe-"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of ``df`` in shared storage, so a lost executor costs no replay."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
