@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,31 +141,82 @@ def _correlated(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return both.groupBy(*keys).agg((F.covar_pop("_a", "_b") / spread).alias("corr"))
 
 
-def correlation_matrix(
-    df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
-) -> DataFrame:
-    """Pearson correlation of every pair of columns, in one pass over a fixed list of pairs."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("_n"),
-                F.col(a).cast("double").alias("_a"),
-                F.col(b).cast("double").alias("_b"),
+def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pearson correlation of every pair of columns, over the rows that have both values.
+
+    Every task folds its Arrow batches into one small set of pair moments (matrix products
+    over the batch), and the few rows of moments are merged about the common mean.
+    """
+    columns = list(columns)
+    upper = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    left, right = (np.array(side) for side in zip(*upper))
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            values = batch.to_numpy(dtype=float)
+            seen = ~np.isnan(values)
+            shift = np.nan_to_num(np.where(seen, values, 0.0).sum(0) / np.maximum(seen.sum(0), 1))
+            x = np.where(seen, values - shift, 0.0)
+            m = seen.astype(float)
+            n = m.T @ m
+            # sums over the rows that have both: of column i, of column j, of the products
+            si, sj = x.T @ m, m.T @ x
+            safe = np.maximum(n, 1.0)
+            part = [
+                n,
+                shift[:, None] + si / safe,
+                shift[None, :] + sj / safe,
+                (x * x).T @ m - si * si / safe,
+                m.T @ (x * x) - sj * sj / safe,
+                x.T @ x - si * sj / safe,
+            ]
+            total = part if total is None else _merged(total, part)
+        if total is not None:
+            picked = [t[left, right] for t in total]
+            yield pd.DataFrame(
+                dict(zip(["n", "mi", "mj", "sii", "sjj", "sij"], picked), i=left, j=right)
             )
-            for n, (a, b) in enumerate(pairs)
-        ]
+
+    parts = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).mapInPandas(
+        moments,
+        "n double, mi double, mj double, sii double, sjj double, sij double, i int, j int",
     )
-    rows = df.select(*keys, F.explode(entries).alias("_e")).select(*keys, "_e.*")
-    names = F.lit([a for a, _ in pairs]), F.lit([b for _, b in pairs])
-    upper = _correlated(rows, [*keys, "_n"]).select(
-        *keys, *[F.get(n, F.col("_n")).alias(c) for n, c in zip(names, "xy")], "corr"
+    pair = Window.partitionBy("i", "j")
+    centre = {c: F.sum(F.col("n") * F.col(c)).over(pair) / F.sum("n").over(pair) for c in ("mi", "mj")}
+    placed = parts.filter(F.col("n") > 0).select(
+        "*", centre["mi"].alias("_ci"), centre["mj"].alias("_cj")
+    )
+    di, dj = F.col("mi") - F.col("_ci"), F.col("mj") - F.col("_cj")
+    merged = placed.groupBy("i", "j").agg(
+        F.sum(F.col("sii") + F.col("n") * di * di).alias("sii"),
+        F.sum(F.col("sjj") + F.col("n") * dj * dj).alias("sjj"),
+        F.sum(F.col("sij") + F.col("n") * di * dj).alias("sij"),
+    )
+    names = F.lit(columns)
+    corr = F.col("sij") / F.nullif(F.sqrt(F.col("sii") * F.col("sjj")), F.lit(0.0))
+    table = merged.select(
+        F.get(names, F.col("i")).alias("x"), F.get(names, F.col("j")).alias("y"), corr.alias("corr")
     )
     sides = F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
     both = F.when(F.col("x") == F.col("y"), F.slice(sides, 1, 1)).otherwise(sides)
-    return upper.select(*keys, F.explode_outer(both).alias("_s"), "corr").select(
-        *keys, "_s.x", "_s.y", "corr"
-    )
+    return table.select(F.explode_outer(both).alias("_s"), "corr").select("_s.x", "_s.y", "corr")
+
+
+def _merged(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    """Moments of two disjoint sets of rows together."""
+    n = a[0] + b[0]
+    safe = np.maximum(n, 1.0)
+    di, dj = b[1] - a[1], b[2] - a[2]
+    between = a[0] * b[0] / safe
+    return [
+        n,
+        a[1] + di * b[0] / safe,
+        a[2] + dj * b[0] / safe,
+        a[3] + b[3] + di * di * between,
+        a[4] + b[4] + dj * dj * between,
+        a[5] + b[5] + di * dj * between,
+    ]
 
 
 def wind_rose(

@@ -43,27 +43,47 @@ def number_rows(
     hours: int = CHUNK_HOURS,
     order: Sequence[Column] = (),
     keep_chunk: bool = False,
+    also: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Adds the 0-based position of each row in its series, ordered by ``time`` then ``order``.
 
     Level 1 numbers rows inside an hour chunk; level 2 sums the row counts of the earlier
-    chunks. ``keep_chunk`` leaves the chunk label in, so that a following operator of this
-    module goes on with the same partitioning.
+    chunks. ``also`` adds further positions that count only the rows that meet a condition
+    (on other rows: the number of such rows before). ``keep_chunk`` leaves the chunk label
+    in, so that a following operator of this module goes on with the same partitioning.
     """
     keys = list(keys)
+    conditions = {name: F.lit(True), **(also or {})}
     chunked = _chunked(df, keys, time, hours)
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    counts = {n: F.count_if(c).alias(f"_n_{n}") for n, c in conditions.items()}
     bases = (
         chunked.groupBy(*keys, CHUNK)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, CHUNK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+        .agg(*counts.values())
+        .select(
+            *keys,
+            CHUNK,
+            *[
+                F.coalesce(F.sum(f"_n_{n}").over(before), F.lit(0)).alias(f"_base_{n}")
+                for n in conditions
+            ],
+        )
+    )
+    inside = (
+        Window.partitionBy(*keys, CHUNK)
+        .orderBy(F.col(time), *order)
+        .rowsBetween(Window.unboundedPreceding, 0)
     )
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(F.col(time), *order)
-    numbered = (
-        chunked.withColumn("_rank", F.row_number().over(inside))
-        .join(bases, [*keys, CHUNK])
-        .withColumn(name, F.col("_base") + F.col("_rank") - 1)
-        .drop("_base", "_rank")
+    ranks = {f"_rank_{n}": F.count_if(c).over(inside) for n, c in conditions.items()}
+    numbered = chunked.withColumns(ranks).join(bases, [*keys, CHUNK])
+    positions = {
+        n: F.col(f"_base_{n}")
+        + F.col(f"_rank_{n}")
+        - (F.lit(1) if n == name else F.when(c, 1).otherwise(0))
+        for n, c in conditions.items()
+    }
+    numbered = numbered.withColumns(positions).drop(
+        *[f"_base_{n}" for n in conditions], *[f"_rank_{n}" for n in conditions]
     )
     return numbered if keep_chunk else numbered.drop(CHUNK)
 

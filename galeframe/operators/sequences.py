@@ -55,12 +55,7 @@ def cut_windows(
     else:
         base = number_rows(df, keys, time, "_pos")
         axis = F.col("_pos")
-    spread = spread_chunks(base, keys, axis, span, after=length)
-    packed = spread.groupBy(*keys, CHUNK).agg(
-        F.array_sort(
-            F.collect_list(F.struct(F.col("_axis"), F.col(time).alias("_t"), *_fields(columns)))
-        ).alias("_rows")
-    )
+    packed = _packed_chunks(base, keys, axis, span, time, columns, after=length)
     reach = length if need_next else length - 1
 
     def starts(i: Column) -> Column:
@@ -71,21 +66,44 @@ def cut_windows(
         return hit & (row["_axis"] % stride == 0) if stride > 1 else hit
 
     def window(i: Column) -> Column:
-        steps = F.transform(
-            F.slice("_rows", i + 1, F.lit(length)),
-            lambda r: F.struct(*[r[f"c{k}"].alias(c) for k, c in enumerate(columns)]),
-        )
-        return F.struct(F.get("_rows", i)["_t"].alias("window_start"), steps.alias("steps"))
+        start = F.get("_rows", i)["_t"]
+        steps = _steps(F.slice("_rows", i + 1, F.lit(length)), columns)
+        return F.struct(start.alias("window_start"), steps.alias("steps"))
+
+    found = F.transform(F.filter(_places(), starts), window)
+    return _unpacked(packed, keys, found)
+
+
+def _packed_chunks(
+    df: DataFrame, keys: list[str], axis: Column, span: int, time: str, columns: Sequence[str],
+    before: int = 0, after: int = 0, **extra: Column,
+) -> DataFrame:
+    """One row per chunk: ``_rows``, its rows and the halo rows in the order of the axis."""
+    spread = spread_chunks(df, keys, axis, span, before, after)
+    row = F.struct(
+        F.col("_axis"), F.col(time).alias("_t"), *[c.alias(n) for n, c in extra.items()],
+        *_fields(columns),
+    )
+    return spread.groupBy(*keys, CHUNK).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
 
-    # The windows of a chunk are built before they are unrolled, so that no output row
-    # carries a copy of the whole chunk.
-    found = F.transform(
-        F.filter(F.sequence(F.lit(0), F.size("_rows") - 1), starts), window
+
+def _places() -> Column:
+    return F.sequence(F.lit(0), F.size("_rows") - 1)
+
+
+def _steps(rows: Column, columns: Sequence[str]) -> Column:
+    return F.transform(
+        rows, lambda r: F.struct(*[r[f"c{k}"].alias(c) for k, c in enumerate(columns)])
     )
+
+
+def _unpacked(packed: DataFrame, keys: list[str], windows: Column) -> DataFrame:
+    """The windows of a chunk are built before they are unrolled, so that no output row
+    carries a copy of the whole chunk."""
     return (
-        packed.select(*keys, F.explode_outer(found).alias("_w"))
+        packed.select(*keys, F.explode_outer(windows).alias("_w"))
         .filter(F.col("_w").isNotNull())
-        .select(*keys, "_w.window_start", "_w.steps")
+        .select(*keys, "_w.*")
     )
 
 
@@ -245,30 +263,62 @@ def sequence_dataset(
     windows start at every ``horizon``-th hour to predict and take the rows as they are.
     """
     keys = list(keys)
-    values = list(dict.fromkeys([*columns, "power", "ws_power", "flag"]))
-    rows = longest_lead(features, [*keys, "date"], [v for v in values if v not in (*keys, "date")])
     inputs = list(columns)
-    train = channel_swap(
-        cut_windows(rows.filter("flag"), [*inputs, "ws_power", "power"], history + horizon,
-                    stride, keys),
-        inputs, history, horizon,
+    fields = [*inputs, "ws_power", "power"]
+    values = [v for v in dict.fromkeys([*fields, "flag"]) if v not in (*keys, "date")]
+    rows = longest_lead(features, [*keys, "date"], values)
+    numbered = number_rows(
+        rows, keys, "date", "_pos", also={"_train": F.col("flag"), "_test": ~F.col("flag")}
     )
-    anchors = every_nth(rows.filter(~F.col("flag")).select(*keys, "date"), keys, "date", horizon)
-    test = windows_at(rows, anchors, [*inputs, "ws_power", "power"], history, horizon, keys)
-    as_is = F.transform(
+    length = history + horizon
+    span = max(512, length + 1)
+    # Both kinds of windows are slices of the same packed chunks.
+    packed = _packed_chunks(
+        numbered, keys, F.col("_pos"), span, "date", fields, before=history, after=length,
+        flag=F.col("flag"), train=F.col("_train"), test=F.col("_test"),
+    )
+
+    def own(row: Column) -> Column:
+        return F.floor(row["_axis"] / F.lit(span)) == F.col(CHUNK)
+
+    def opens_train(i: Column) -> Column:
+        row, next_ = F.get("_rows", i), F.get("_rows", i + length)
+        measured = row["flag"] & next_["flag"] & (next_["train"] == row["train"] + length)
+        whole = next_["_t"] == add_hours(row["_t"], length)
+        return own(row) & measured & whole & (row["train"] % stride == 0)
+
+    def opens_test(i: Column) -> Column:
+        row = F.get("_rows", i)
+        inside = (i >= history) & (i + horizon <= F.size("_rows"))
+        return own(row) & ~row["flag"] & (row["test"] % horizon == 0) & inside
+
+    def window(first: Column, start: Column, split: str) -> Column:
+        steps = _steps(F.slice("_rows", first + 1, F.lit(length)), fields)
+        return F.struct(
+            start.alias("window_start"), steps.alias("steps"), F.lit(split).alias("split")
+        )
+
+    train = F.transform(
+        F.filter(_places(), opens_train),
+        lambda i: window(i, F.get("_rows", i)["_t"], "train"),
+    )
+    test = F.transform(
+        F.filter(_places(), opens_test),
+        lambda i: window(i - history, F.get("_rows", i)["_t"], "test"),
+    )
+    windows = _unpacked(packed, keys, F.concat(train, test))
+    swapped = F.transform(
         "steps",
-        lambda r: F.struct(
-            *[r[c].alias(c) for c in inputs], r["ws_power"].alias("power_in")
+        lambda r, k: F.struct(
+            *[r[c].alias(c) for c in inputs],
+            F.when((k < history) & (F.col("split") == "train"), r["power"])
+            .otherwise(r["ws_power"])
+            .alias("power_in"),
         ),
     )
-    test = test.withColumn("x", as_is).withColumn(
-        "y", _targets("steps", history, horizon, "power")
-    )
-    shape = [*keys, "window_start", "x", "y"]
-    return (
-        train.select(*shape)
-        .withColumn("split", F.lit("train"))
-        .unionByName(test.select(*shape).withColumn("split", F.lit("test")))
+    return windows.select(
+        *keys, "window_start", "split", swapped.alias("x"),
+        _targets("steps", history, horizon, "power").alias("y"),
     )
 
 
