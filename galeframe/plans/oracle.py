@@ -18,7 +18,7 @@ _VIEWS = {
                CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS c
         FROM events GROUP BY 1, 2""",
     "obs_sparse": """
-        SELECT site, date, round(c / CAST((SELECT max(c) FROM cents) AS DOUBLE), 6) AS power
+        SELECT site, date, floor(c / CAST((SELECT max(c) FROM cents) AS DOUBLE) * 1e6 + 5e-1) / 1e6 AS power
         FROM cents""",
     "grid": """
         SELECT s.site, g.date
@@ -47,12 +47,12 @@ _VIEWS = {
           ON o.date > s.start AND o.date <= s.start + INTERVAL 48 HOUR""",
     "polar": """
         SELECT site, start, dist, new_date,
-               round(25e0 * sqrt(power) + 2e-2 * dist, 6) AS ws,
+               floor((25e0 * sqrt(power) + 2e-2 * dist) * 1e6 + 5e-1) / 1e6 AS ws,
                CAST((h * 37 + site * 61) % 360 AS DOUBLE) + 5e-1 AS wd
         FROM issued""",
     "runs": """
-        SELECT site, start, dist, new_date, round(ws * sin(radians(wd)), 6) AS u,
-               round(ws * cos(radians(wd)), 6) AS v, ws, wd
+        SELECT site, start, dist, new_date, floor(ws * sin(radians(wd)) * 1e6 + 5e-1) / 1e6 AS u,
+               floor(ws * cos(radians(wd)) * 1e6 + 5e-1) / 1e6 AS v, ws, wd
         FROM polar""",
     "features": """
         SELECT o.site, o.date, r.start, r.dist, CAST(ceil(r.dist / 12e0) AS INTEGER) AS catagory,
@@ -63,7 +63,7 @@ _VIEWS = {
         SELECT site, date, power,
                NOT (datediff('hour', TIMESTAMP '2024-01-01', date) - 1 >= 168
                     AND (datediff('hour', TIMESTAMP '2024-01-01', date) - 1) % 168 >= 120) AS flag,
-               [round(power + (k - 50) / 100e0 + ((k * 7) % 5 - 2) / 50e0, 6)
+               [floor((power + (k - 50) / 100e0 + ((k * 7) % 5 - 2) / 50e0) * 1e6 + 5e-1) / 1e6
                 FOR k IN range(1, 100)] AS q
         FROM obs_sparse""",
     "metric_log": """

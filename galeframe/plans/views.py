@@ -19,6 +19,12 @@ BLOCK_FROM = 120
 ISSUE_EVERY = 12
 
 
+def micro(x: Column) -> Column:
+    """Six decimals, halves upwards. Plain double arithmetic: the same bits on every engine,
+    and several times as fast as decimal rounding."""
+    return F.floor(x * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -47,7 +53,7 @@ def obs_sparse(spark: SparkSession, sf: str, by: str = "user") -> DataFrame:
     """Measured power in [0, 1] for the hours that have events; the rest is missing."""
     cents = hour_cents(spark, sf, by)
     peak = cents.agg(F.max("c")).scalar()
-    return cents.select("site", "date", F.round(F.col("c") / peak, 6).alias("power"))
+    return cents.select("site", "date", micro(F.col("c") / peak).alias("power"))
 
 
 def is_measured(date: str = "date") -> Column:
@@ -108,7 +114,7 @@ def runs(spark: SparkSession, sf: str, by: str = "user") -> DataFrame:
         .withColumn("dist", (F.col("_h") - F.col("_s")).cast("int"))
         .withColumn("start", add_hours("date", -F.col("dist")))
         .withColumn(
-            "ws", F.round(F.lit(25.0) * F.sqrt("power") + F.lit(0.02) * F.col("dist"), 6)
+            "ws", micro(F.lit(25.0) * F.sqrt("power") + F.lit(0.02) * F.col("dist"))
         )
         .withColumn(
             "wd", ((F.col("_h") * 37 + F.col("site") * 61) % 360).cast("double") + F.lit(0.5)
@@ -120,8 +126,8 @@ def runs(spark: SparkSession, sf: str, by: str = "user") -> DataFrame:
         "start",
         "dist",
         F.col("date").alias("new_date"),
-        F.round(F.col("ws") * F.sin(angle), 6).alias("u"),
-        F.round(F.col("ws") * F.cos(angle), 6).alias("v"),
+        micro(F.col("ws") * F.sin(angle)).alias("u"),
+        micro(F.col("ws") * F.cos(angle)).alias("v"),
         "ws",
         "wd",
     )
@@ -153,11 +159,8 @@ def quantiles(spark: SparkSession, sf: str, by: str = "user") -> DataFrame:
     """99 raw quantile forecasts per measured hour, unordered and out of range on purpose."""
     q = F.transform(
         F.sequence(F.lit(1), F.lit(99)),
-        lambda k: F.round(
-            F.col("power")
-            + (k - 50) / F.lit(100.0)
-            + ((k * 7) % 5 - 2) / F.lit(50.0),
-            6,
+        lambda k: micro(
+            F.col("power") + (k - 50) / F.lit(100.0) + ((k * 7) % 5 - 2) / F.lit(50.0)
         ),
     )
     return obs_sparse(spark, sf, by).select(
