@@ -264,3 +264,8 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> Dat
     keys = list(keys)
     aggregates = [expr.alias(name) for name, expr in stats.items()]
     return df.join(df.groupBy(*keys).agg(*aggregates), keys)
+
+
+def mixed_sort(df: DataFrame) -> DataFrame:
+    """By date and site, longest lead first."""
+    return df.orderBy(F.asc("date"), F.asc("site"), F.desc("dist"))

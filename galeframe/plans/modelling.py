@@ -179,9 +179,7 @@ def _blocks(spark, sf, by="user"):
     return recursion.blocks_with_context(views.obs(spark, sf, by), weather, ["ws"], _DEPTH)
 
 
-@query(
-    "recursive_forecast",
-    """WITH RECURSIVE weather AS (SELECT site, new_date AS date, max_by(ws, start) AS ws
+WALK_SQL = """WITH RECURSIVE weather AS (SELECT site, new_date AS date, max_by(ws, start) AS ws
               FROM runs GROUP BY 1, 2),
        hours AS (SELECT t.site, t.date, w.ws, date_trunc('hour', t.date)
                  - ((datediff('hour', TIMESTAMP '2024-01-01', t.date) - 1) % 168 - 119)
@@ -199,7 +197,12 @@ def _blocks(spark, sf, by="user"):
                 list_prepend(list_sum(list_transform(w.past[1:36], lambda p, i: p * pow(5e-1, i)))
                              + 2e-3 * h.ws, w.past)
          FROM walk w JOIN hours h ON h.site = w.site AND h.start = w.start
-              AND h.date = w.start + (w.step + 1) * INTERVAL 1 HOUR)
+              AND h.date = w.start + (w.step + 1) * INTERVAL 1 HOUR)"""
+
+
+@query(
+    "recursive_forecast",
+    f"""{WALK_SQL}
        SELECT site, start, start + step * INTERVAL 1 HOUR AS date, round(past[1], 6) AS power
        FROM walk WHERE step > 0""",
 )

@@ -11,7 +11,7 @@ from galeframe.plans.oracle import with_views
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("projections", "filters", "joining", "series", "aggregates", "cleaning", "sequences", "scoring", "exploration", "modelling", "scanning")
+MODULES = ("projections", "filters", "joining", "series", "aggregates", "cleaning", "sequences", "scoring", "exploration", "modelling", "scanning", "workflows")
 
 PLANS: dict[str, Plan] = {}
 SQL: dict[str, str] = {}

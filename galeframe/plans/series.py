@@ -180,20 +180,10 @@ def _(spark, sf):
     return feat.across_sites(runs, "ws", range(1, 6)).drop("new_date")
 
 
-@query(
-    "o1_mixed_sort",
-    """SELECT date, site, dist, row_number() OVER (PARTITION BY date ORDER BY site, dist DESC)
-              AS place FROM features""",
-    by="kind",
-)
+@query("o1_mixed_sort", "SELECT date, site, dist, ws FROM features")
 def _(spark, sf):
-    """Order inside an hour by site and falling lead; a full sort belongs to the sink."""
-    from pyspark.sql import Window
-
-    window = Window.partitionBy("date").orderBy(F.asc("site"), F.desc("dist"))
-    return views.features(spark, sf, "kind").select(
-        "date", "site", "dist", F.row_number().over(window).cast("bigint").alias("place")
-    )
+    """Range-partitioned sort; only a sink needs one, windows carry their own order."""
+    return op.mixed_sort(views.features(spark, sf).select("date", "site", "dist", "ws"))
 
 
 @query(
