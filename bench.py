@@ -51,7 +51,10 @@ def main() -> None:
         "bench",
         f"local[{cpus}]",
         **{
+            # As many partitions as cores: the tables are small in bytes, but a row unrolls
+            # into a window of 84 or an array of 99, so merging them would idle the cores.
             "spark.sql.shuffle.partitions": cpus,
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "16g",
         },

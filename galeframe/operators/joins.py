@@ -154,6 +154,8 @@ def last_known(
     keys = list(keys)
     tick = left.select(*keys, F.col(left_time).alias("_t"), F.lit(True).alias("_ask"),
                        F.lit(None).cast("double").alias("_v"))
+    # Rows without a value cannot be an answer.
+    right = right.filter(F.col(value).isNotNull())
     known = right.select(*keys, F.col(right_time).alias("_t"), F.lit(False).alias("_ask"),
                          F.col(value).alias("_v"))
     # Of equal times, the question comes last if it may see the value of the same hour.

@@ -112,18 +112,16 @@ def known_neighbours(
         F.col("_known").isNotNull(), F.struct(F.struct(*by_time).alias("t"), F.col("_known"))
     )
     across = Window.partitionBy(*keys)
-    carried = (
-        chunked.groupBy(*keys, CHUNK)
-        .agg(F.max(at).alias("_last"), F.min(at).alias("_first"))
-        .select(
-            *keys,
-            CHUNK,
-            _carry(F.col("_last")["_known"], across.orderBy(CHUNK), 1).alias("_from_before"),
-            _carry(F.col("_first")["_known"], across.orderBy(F.desc(CHUNK)), 1).alias(
-                "_from_after"
-            ),
-        )
-    )
+    ends, carries = [], []
+    if before:
+        ends.append(F.max(at).alias("_last"))
+        last = F.col("_last")["_known"]
+        carries.append(_carry(last, across.orderBy(CHUNK), 1).alias("_from_before"))
+    if after:
+        ends.append(F.min(at).alias("_first"))
+        first = F.col("_first")["_known"]
+        carries.append(_carry(first, across.orderBy(F.desc(CHUNK)), 1).alias("_from_after"))
+    carried = chunked.groupBy(*keys, CHUNK).agg(*ends).select(*keys, CHUNK, *carries)
     inside = Window.partitionBy(*keys, CHUNK)
     edge = 0 if inclusive else 1
     out = chunked
