@@ -211,7 +211,16 @@ def _(spark, sf):
     return walked.withColumn("power", F.round("power", 6))
 
 
-@query("recursive_forecast_model")
+_STEP = WALK_SQL[WALK_SQL.index("list_sum(") : WALK_SQL.index(", w.past)")]
+
+
+@query(
+    "recursive_forecast_model",
+    WALK_SQL.replace(_STEP, f"least(greatest({_STEP}, 0e0), 92e-2)")
+    + """
+       SELECT site, start, start + step * INTERVAL 1 HOUR AS date, round(past[1], 6) AS power
+       FROM walk WHERE step > 0""",
+)
 def _(spark, sf):
     import numpy as np
 
@@ -220,7 +229,8 @@ def _(spark, sf):
     def predict(past, hour):
         return min(max(float(past @ weights) + 0.002 * hour["ws"], 0.0), 0.92)
 
-    return recursion.recursive_model(_blocks(spark, sf), predict, ["ws"])
+    walked = recursion.recursive_model(_blocks(spark, sf), predict, ["ws"])
+    return walked.withColumn("power", F.round("power", 6))
 
 
 @query("recursive_cross_site")
