@@ -100,3 +100,10 @@ def test_mixed_sort(spark):
     df = spark.createDataFrame(rows, "date timestamp_ntz, site int, dist int").repartition(4)
     got = [tuple(r) for r in op.mixed_sort(df).collect()]
     assert got == sorted(rows, key=lambda r: (r[0], r[1], -r[2]))
+
+
+def test_top_rows_are_limited_before_the_shuffle(series):
+    top = op.first_rows(series({1: {h: h for h in range(50)}}), ["site"], [F.col("date")], 5)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+    assert sorted(r.power for r in top.collect()) == [0, 1, 2, 3, 4]
