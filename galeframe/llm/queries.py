@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.llm import bpe, compression, sharding
+from galeframe.llm import bpe, compression, language, quality, sharding, toxicity
 from galeframe.llm.common import fold, size_of, table
 
 SHARDS = 8
@@ -21,6 +21,19 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_digests(table(spark, folder, "documents"), tokenizer_path())
 
 
+def _held_out(of: int, rest: int):
+    """Whether a document is held out; a row without an id never is."""
+    return F.coalesce(fold("doc_id", of) == rest, F.lit(False))
+
+
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality.fit(docs, table(spark, folder, "labels"), ~_held_out(5, 0))
+    return quality.score(docs, model).select(
+        "doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     rows = docs.select(
@@ -34,10 +47,24 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.numbered(rows, "shard", "doc_id")
 
 
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = language.identify(docs, language.fit(docs, ~_held_out(4, 2)))
+    return found.select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score", "languages", "shares")
+
+
 def op7_compression(spark: SparkSession, folder: str) -> DataFrame:
     return compression.compression_rules(table(spark, folder, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"), ~_held_out(4, 2))
+    return toxicity.score(docs, model).select(
+        "doc_id", _held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def _op5_sql() -> str:
     """Rendezvous scores, slots and CRC-32 (its table from the polynomial) in DuckDB."""
     score = "-1.0 / ln((('0x' || substr(md5(k || ':{0}'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)"
@@ -75,8 +102,11 @@ FROM placed"""
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
     "op5_sharding": op5_sharding,
+    "op6_language": op6_language,
     "op7_compression": op7_compression,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL = {"op5_sharding": _op5_sql()}
