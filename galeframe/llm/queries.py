@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.llm import bpe, compression, language, quality, sharding, toxicity
+from galeframe.llm import bpe, compression, decontaminate, language, quality, sharding, toxicity
 from galeframe.llm.common import fold, size_of, table
 
 SHARDS = 8
@@ -57,6 +57,10 @@ def op7_compression(spark: SparkSession, folder: str) -> DataFrame:
     return compression.compression_rules(table(spark, folder, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = toxicity.fit(docs, table(spark, folder, "labels"), ~_held_out(4, 2))
@@ -106,7 +110,8 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_language": op6_language,
     "op7_compression": op7_compression,
+    "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL = {"op5_sharding": _op5_sql()}
+ORACLE_SQL = {"op5_sharding": _op5_sql(), "op9_decontamination": decontaminate.oracle_sql()}
