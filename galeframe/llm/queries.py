@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.llm import bpe, compression, decontaminate, language, quality, sharding, toxicity
+from galeframe.llm import bpe, compression, decontaminate, language, quality, sharding, simhash, toxicity
 from galeframe.llm.common import fold, size_of, table
 
 SHARDS = 8
@@ -57,6 +57,15 @@ def op7_compression(spark: SparkSession, folder: str) -> DataFrame:
     return compression.compression_rules(table(spark, folder, "documents"))
 
 
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -110,6 +119,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_language": op6_language,
     "op7_compression": op7_compression,
+    "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
 }
