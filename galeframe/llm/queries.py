@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.llm import bpe, compression, decontaminate, language, quality, sharding, simhash, toxicity
+from galeframe.llm import bpe, compression, decontaminate, language, quality, sharding, simhash, suffixes, toxicity
 from galeframe.llm.common import fold, size_of, table
 
 SHARDS = 8
@@ -34,6 +34,10 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.deduplicate(table(spark, folder, "documents"))
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     rows = docs.select(
@@ -116,6 +120,7 @@ FROM placed"""
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op5_sharding": op5_sharding,
     "op6_language": op6_language,
     "op7_compression": op7_compression,
