@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.llm import bpe, compression, decontaminate, language, quality, sharding, simhash, suffixes, toxicity
+from galeframe.llm import bpe, compression, decontaminate, language, ppm, quality, sharding, simhash, suffixes, toxicity
 from galeframe.llm.common import fold, size_of, table
 
 SHARDS = 8
@@ -38,6 +38,13 @@ def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.deduplicate(table(spark, folder, "documents"))
 
 
+def op4_ppm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return ppm.scores(docs, ~_held_out(7, 2)).select(
+        "doc_id", _held_out(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     rows = docs.select(
@@ -121,6 +128,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_ppm": op4_ppm,
     "op5_sharding": op5_sharding,
     "op6_language": op6_language,
     "op7_compression": op7_compression,
