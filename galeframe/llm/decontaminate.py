@@ -76,7 +76,7 @@ def _slots(texts: DataFrame, key: str) -> DataFrame:
     return parts.withColumn("k", k).select(key, "p", "kind", F.lower(F.get(values, F.col("k") - 1)).alias("value"))
 
 
-def _small(side: DataFrame) -> DataFrame:
+def small(side: DataFrame) -> DataFrame:
     """Broadcast if it has few rows, by count."""
     return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
 
@@ -100,7 +100,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str
     seen = own.select("doc", template(F.col("text")).alias("w")).select("doc", F.posexplode(_hashes("w")).alias("pos", "h"))
     # Only windows of the benchmark pass this join; all that follows is as large as the leaks are.
     found = durable(
-        seen.join(_small(wanted), "h").select("doc", "item", "ipos", (F.col("pos") - F.col("ipos")).alias("shift")).distinct()
+        seen.join(small(wanted), "h").select("doc", "item", "ipos", (F.col("pos") - F.col("ipos")).alias("shift")).distinct()
     )
     enough = (
         found.groupBy("doc", "item").agg(F.countDistinct("ipos").alias("hits"))
@@ -113,7 +113,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str
     )
     candidates = durable(enough.join(aligned, ["doc", "item"]))
     ids = candidates.select("doc").distinct()
-    theirs = _slots(own.join(_small(ids), "doc").groupBy("doc").agg(F.min("text").alias("text")), "doc")
+    theirs = _slots(own.join(small(ids), "doc").groupBy("doc").agg(F.min("text").alias("text")), "doc")
     ours = _slots(items, "item").select("item", F.col("p").alias("q"), "kind", F.col("value").alias("ivalue"))
     bound = (
         candidates.join(ours, "item").withColumn("p", F.col("q") + F.col("shift"))

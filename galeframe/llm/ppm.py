@@ -2,8 +2,8 @@
 
 A trie of byte contexts is counted over all training documents. A byte is predicted in its longest
 context that training has seen; a context that never saw the byte escapes to the next shorter one,
-with the probability that half a count of each of its symbols makes up, and the symbols it did see
-are excluded there. A text ends with an end symbol in place of a byte, so the probabilities of all
+with the probability that a part of a count of each of its symbols makes up, and the symbols it did
+see are excluded there. A text ends with an end symbol in place of a byte, so the probabilities of all
 texts sum to one.
 
 The trie is never gathered. It is dealt by the last two bytes of the contexts: all contexts of two
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from galeframe.llm.common import size_of
 from galeframe.llm.suffixes import _by_part, _pack, _pack_sorted, _table, _unpack, _unpack_sorted
 
-ORDER = 5
+#: Length of the longest contexts, and the part of every symbol's first count that goes to its escape.
+ORDER, ESCAPE = 5, 0.3
 #: Ends a text and stands for what is before it; no UTF-8 text holds this byte.
 END = 0xFF
 BUCKET_BYTES, PART_BYTES = 6 << 20, 12 << 20
@@ -135,9 +136,9 @@ def log_probabilities(wanted: np.ndarray, trie: list[Level]) -> np.ndarray:
         symbols = level.symbols[c] - gone_d
         live = open_ & seen & (total > 0)
         hit = live & known
-        out[hit] += np.log((level.counts[g[hit]] - 0.5) / total[hit])
+        out[hit] += np.log((level.counts[g[hit]] - ESCAPE) / total[hit])
         miss = live & ~known
-        out[miss] += np.log(symbols[miss] / 2 / total[miss])
+        out[miss] += np.log(ESCAPE * symbols[miss] / total[miss])
         open_ &= ~hit
         if k:
             shorter = level.shared_with(trie[k - 1])

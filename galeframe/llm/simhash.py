@@ -45,14 +45,13 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
 
 def _spread(h: np.ndarray, words: int) -> np.ndarray:
     """``words`` hashes of 64 bits from each; the first is the hash itself."""
-    out = np.empty((len(h), words), np.uint64)
-    out[:, 0] = h
-    for k in range(1, words):
-        z = h + np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out[:, k] = z ^ (z >> np.uint64(31))
-    return out
+    z = h[:, None] + np.array([0x9E3779B97F4A7C15 * k % (1 << 64) for k in range(words)], np.uint64)
+    if words > 1:
+        own = z[:, 1:]
+        own = (own ^ (own >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        own = (own ^ (own >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z[:, 1:] = own ^ (own >> np.uint64(31))
+    return z
 
 
 def majority(h: np.ndarray, bits: int = 64) -> bytes:
@@ -223,31 +222,80 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return own.join(classes, "fp").select(key, "fp", "component")
 
 
-# Wide fingerprints: similarity in place of a number of bits.
+# Wide fingerprints: a similarity in place of a number of bits.
 
 WIDE = 1024
-#: A value of a group with more members than this is sorted in several parts.
-PART = 4096
-#: Members of a value that each is compared with.
+#: Others of the same group value that a fingerprint is compared with, the nearest in order.
 AHEAD = 48
+#: Values with more fingerprints are ordered in parts of about this many.
+PART = 4096
 
 
-def wide_fingerprints(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """``key``, ``fp``: 1,024 bits as binary, and ``empty`` for texts without a word."""
+def bits_within(similarity: float, bits: int = WIDE) -> int:
+    """Differing bits to expect of two sets of equal size and this Jaccard similarity, and a standard error more."""
+    share = np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi
+    return int(bits * share + np.sqrt(bits * share * (1 - share)))
+
+
+def similar_documents(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """(``key``, ``component``) as ``near_duplicates``, for texts of a Jaccard similarity of word shingles.
+
+    Such texts differ in a seventh of their bits, too many to be sure of a group in which they
+    agree. So the fingerprint is of 1,024 bits, in groups of a few more bits than it takes to tell
+    all fingerprints apart, each with threshold 0: pairs that differ in fewer bits than there are
+    groups are found for certain, others with a chance that grows with the groups. What is found is
+    verified on all bits. A fingerprint is compared with the AHEAD that follow it in an order that
+    is another in every group, so a crowd of copies costs in proportion to its size, and its closure
+    joins them. Rows without a key take no part.
+    """
     kind = dict(docs.dtypes)[key]
 
     def run(batches):
         for batch in pieces(batches):
-            hashed = [shingle_hashes(t or "", shingle) for t in column(batch, "text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "key"), pa.array([majority(h, WIDE) for h in hashed], pa.binary())], [key, "fp"]
-            )
+            prints = [majority(shingle_hashes(t or "", shingle), WIDE) for t in column(batch, "text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(prints, pa.binary())], [key, "fp"])
 
-    picked = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    return picked.mapInArrow(run, f"`{key}` {kind}, fp binary")
+    picked = docs.select(docs[key].alias("key"), docs[text].alias("text")).filter("key IS NOT NULL")
+    own = durable(picked.mapInArrow(run, f"`{key}` {kind}, fp binary"))
+    prints = durable(own.groupBy("fp").agg(F.min(key).alias("node")))
+    width = min(32, max(18, int(prints.count()).bit_length() + 4))
+    groups = WIDE // width
 
+    def values(batches):
+        for batch in batches:
+            raw = np.frombuffer(b"".join(column(batch, "fp").to_pylist()), np.uint8).reshape(-1, WIDE // 8)
+            bits = np.unpackbits(raw, axis=1, bitorder="little")[:, : groups * width].reshape(len(raw), groups, width)
+            value = (bits.astype(np.int64) << np.arange(width)).sum(axis=2)
+            node = np.repeat(column(batch, "node").to_numpy(zero_copy_only=False), groups)
+            group = np.tile(np.arange(groups, dtype=np.int32), len(raw))
+            yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(value.ravel()), pa.array(node)], ["g", "value", "node"])
+
+    keyed = prints.mapInArrow(values, f"g int, value long, node {kind}")
+    crowded = keyed.groupBy("g", "value").agg(F.count("*").alias("n")).filter(F.col("n") > PART)
+    parts = F.coalesce(F.ceil(F.col("n") / PART), F.lit(1))
+    spread = keyed.join(crowded, ["g", "value"], "left").withColumn("mix", F.xxhash64("node", "g"))
+    spread = spread.select("g", "value", "node", "mix", F.pmod("mix", parts).alias("part"))
+    ahead = Window.partitionBy("g", "value", "part").orderBy("mix", "node").rowsBetween(1, AHEAD)
+    pairs = (
+        spread.select(F.col("node").alias("a"), F.collect_list("node").over(ahead).alias("others"))
+        .filter(F.size("others") > 0).select("a", F.explode("others").alias("b"))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    )
+    left, right = prints.select(F.col("node").alias("a"), F.col("fp").alias("x")), prints.select(F.col("node").alias("b"), F.col("fp").alias("y"))
+    limit = bits_within(similarity)
+
+    def verified(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(column(batch, c).to_pylist()), np.uint64).reshape(-1, WIDE // 64) for c in "xy")
+            near = np.bitwise_count(x ^ y).sum(axis=1) <= limit
+            yield pa.RecordBatch.from_arrays([column(batch, c).filter(pa.array(near)) for c in "ab"], ["a", "b"])
 
-def bits_within(similarity: float, bits: int = WIDE) -> int:
-    """Expected differing bits of two sets of equal size and this Jaccard similarity."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(bits * np.arccos(min(1.0, cosine)) / np.pi)
+    found = pairs.join(left, "a").join(right, "b").mapInArrow(verified, f"a {kind}, b {kind}")
+    joined = components(found, "a", "b")
+    classes = durable(
+        prints.join(joined, prints["node"] == joined["node"], "left")
+        .select("fp", F.coalesce(joined["root"], prints["node"]).alias("component"))
+    )
+    return own.join(classes, "fp").select(key, "component")

@@ -187,26 +187,33 @@ def _table(rows: list[tuple], names: list[str], kinds: list) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
 
-def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> tuple[DataFrame, int, int]:
-    """Documents dealt to buckets, with the numbers of buckets and of parts, by their summed size."""
+def _dealt(docs: DataFrame, key: str, text: str, carry: list[str], settings: Settings) -> tuple[DataFrame, int]:
+    """Documents dealt to buckets, and the number of parts, both by their summed size."""
     total = docs.agg(F.sum(size_of(docs[text]))).first()[0] or 0
     buckets, parts = max(1, -(-total // settings.bucket_bytes)), max(1, -(-total // settings.part_bytes))
-    dealt = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
-    return dealt.withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(buckets)).cast("int")), buckets, parts
+    own = [docs[c].alias(f"carried_{i}") for i, c in enumerate(carry)]
+    dealt = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text"), *own)
+    return dealt.withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(buckets)).cast("int")), parts
 
 
 def deduplicate(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings(), texts: bool = False
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    settings: Settings = Settings(),
+    texts: bool = False,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Removes every byte inside a 50-byte string that also starts in a document of smaller id.
 
     One row per document row: ``key``, ``n_bytes``, ``n_removed``, ``n_spans`` and the digest of the
     bytes left, or, with ``texts``, the text left, where a character cut apart is left out whole.
+    The columns named in ``carry`` come along.
     NULL texts count as empty. Rows without an id neither lose nor cost bytes, and rows of one id
     don't cost each other any. Strings are compared by 64-bit identifiers among those that share
     a gram.
     """
-    dealt, _, parts = spans(docs, key, text, settings)
+    dealt, parts = _dealt(docs, key, text, list(carry), settings)
     crowd = settings.crowded
 
     def asks(group: pa.Table) -> pa.Table:
@@ -357,7 +364,11 @@ def deduplicate(
             else:
                 last = hashlib.sha256(left).hexdigest()
             rows.append((d, len(raw), n, runs, last))
-        return _table(rows, [key, "n_bytes", "n_removed", "n_spans", last_name], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()])
+        names = [key, "n_bytes", "n_removed", "n_spans", last_name]
+        out = _table(rows, names, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()])
+        for i, c in enumerate(carry):
+            out = out.append_column(c, group.column(f"carried_{i}"))
+        return out
 
     last_name = text if texts else "kept_sha256"
     # The texts are shuffled once: the three passes have this exchange in common.
@@ -373,7 +384,9 @@ def deduplicate(
         crowded.select("bucket", *[F.lit(b"").alias(c) for c in ("contexts", "masks", "strings")], "crowded")
     )
     return by_bucket.cogroup(answers.groupBy("bucket")).applyInArrow(
-        kept, f"`{key}` long, n_bytes long, n_removed long, n_spans long, `{last_name}` string"
+        kept,
+        f"`{key}` long, n_bytes long, n_removed long, n_spans long, `{last_name}` string"
+        + "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in carry),
     )
 
 

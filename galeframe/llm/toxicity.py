@@ -217,12 +217,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic",
     return Model({byplace[i]: w for i, w in got.items() if i >= 0}, got[-1])
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """``key`` and the probability of toxicity of every whole text; a NULL or empty one gets the base rate."""
-    kind = dict(docs.dtypes)[key]
+def _scorer(model: Model, settings: Settings):
+    """A function from texts to probabilities, with a memo of the features that words have."""
     weights, bias, prefixes = model.weights, model.bias, settings.prefixes
+    memo: dict[str, tuple] = {}
 
-    def of(word: str, memo: dict) -> tuple:
+    def of(word: str) -> tuple:
         hits = memo.get(word)
         if hits is None:
             if len(memo) > 200_000:
@@ -230,17 +230,38 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             hits = memo[word] = tuple(f for f in sorted(features({word}, prefixes)) if f in weights)
         return hits
 
+    def probabilities(texts: list) -> np.ndarray:
+        out = []
+        for t in texts:
+            found = set()
+            for word in words(t or ""):
+                found.update(of(word))
+            out.append(bias + sum(weights[f] for f in sorted(found)))
+        return 1 / (1 + np.exp(-np.clip(np.array(out, float), -30, 30)))
+
+    return probabilities
+
+
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """``key`` and the probability of toxicity of every whole text; a NULL or empty one gets the base rate."""
+    kind = dict(docs.dtypes)[key]
+
     def run(batches):
-        memo: dict[str, tuple] = {}
+        scorer = _scorer(model, settings)
         for batch in pieces(batches):
-            out = []
-            for t in column(batch, "text").to_pylist():
-                found = set()
-                for word in words(t or ""):
-                    found.update(of(word, memo))
-                out.append(bias + sum(weights[f] for f in sorted(found)))
-            z = np.clip(np.array(out, float), -30, 30)
-            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(1 / (1 + np.exp(-z)))], [key, "score"])
+            p = scorer(column(batch, "text").to_pylist())
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), pa.array(p)], [key, "score"])
 
     picked = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     return picked.mapInArrow(run, f"`{key}` {kind}, score double")
+
+
+def clean(docs: DataFrame, model: Model, limit: float = 0.3, settings: Settings = Settings()) -> DataFrame:
+    """The rows, whole and with all columns, whose ``text`` scores below ``limit``."""
+
+    def run(batches):
+        scorer = _scorer(model, settings)
+        for batch in pieces(batches):
+            yield batch.filter(pa.array(scorer(column(batch, "text").to_pylist()) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
