@@ -52,17 +52,18 @@ def _mixed(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> _u64(31))
 
 
-def _words(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The 8 bytes that start at each place; ``raw`` is padded by 8 bytes at least."""
-    view = np.ndarray((len(raw) - 7,), np.uint64, raw, strides=(1,))
-    return view[at]
+def _words(raw: np.ndarray) -> np.ndarray:
+    """The 8 bytes that start at each place, for all but the last 7."""
+    return np.ndarray((len(raw) - 7,), np.uint64, raw, strides=(1,))
 
 
 def string_ids(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Identifiers of the 50-byte strings that start at each place."""
     z = np.full(len(at), 0x243F6A8885A308D3, np.uint64)
+    words = _words(raw)
     for k in (0, 8, 16, 24, 32, 40, 42):
-        z = (z ^ _words(raw, at + k)) * _u64(0x9E3779B97F4A7C15)
+        z ^= words[k:][at]
+        z *= _u64(0x9E3779B97F4A7C15)
         z ^= z >> _u64(29)
     return _mixed(z)
 
@@ -80,25 +81,26 @@ class Texts:
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(gram hash, document, first string, last string) of every run of strings with one anchor."""
         n = int(self.ends[-1]) if len(self.ends) else 0
+        words = _words(self.raw)
         out = []
         for s in range(0, n, STRIDE):
             e = min(n, s + STRIDE)
             width = e - s + REACH
-            at = np.arange(s, s + width)
             h = np.full(width, 0x13198A2E03707344, np.uint64)
             for k in range(0, GRAM, 8):
-                h = (h ^ _words(self.raw, np.minimum(at + k, len(self.raw) - 8))) * _u64(0x9E3779B97F4A7C15)
+                h ^= words[s + k : s + k + width]
+                h *= _u64(0x9E3779B97F4A7C15)
                 h ^= h >> _u64(29)
             h = _mixed(h)
-            least, place = h, np.arange(width, dtype=np.int32)
+            # The hash's upper bits, and the place below them: the least is the first of its kind.
+            least = h & ~_u64(2 * STRIDE - 1)
+            least |= np.arange(width, dtype=np.uint64)
             reach = 1
             while reach < REACH:
                 step = min(reach, REACH - reach)
-                smaller = least[step:] < least[:-step]
-                place = np.where(smaller, place[step:], place[:-step])
                 least = np.minimum(least[step:], least[:-step])
                 reach += step
-            place, least = place[: e - s], least[: e - s]
+            place = (least[: e - s] & _u64(2 * STRIDE - 1)).astype(np.int64)
             first = np.searchsorted(self.ends, s, side="right")
             last = np.searchsorted(self.ends, e - 1, side="right")
             valid = np.zeros(e - s, bool)
@@ -115,7 +117,7 @@ class Texts:
             new[1:] = (place[i[1:]] != place[i[:-1]]) | (doc[i[1:]] != doc[i[:-1]]) | (i[1:] != i[:-1] + 1)
             head = np.flatnonzero(new)
             tail = np.append(head[1:], len(i)) - 1
-            out.append((least[i[head]], doc[i[head]].astype(np.int64), i[head] + s, i[tail] + s))
+            out.append((h[place[i[head]]], doc[i[head]].astype(np.int64), i[head] + s, i[tail] + s))
         if not out:
             return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3
         return tuple(np.concatenate(x) for x in zip(*out))
@@ -156,19 +158,21 @@ def _held(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 def _least(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted distinct keys, least document of each, index of each key among them)."""
-    order = np.lexsort((docs, keys))
+    order = np.argsort(keys)
     k = keys[order]
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]
     where = np.empty(len(k), np.int64)
     where[order] = np.cumsum(new) - 1
-    return k[new], docs[order][new], where
+    least = np.minimum.reduceat(docs[order], np.flatnonzero(new)) if len(k) else docs
+    return k[new], least, where
 
 
 def _by_part(keys: np.ndarray, parts: int):
     """(part, indexes of its keys in ascending order of the keys), for every part that has some."""
     part = (keys % _u64(parts)).astype(np.int64)
-    order = np.lexsort((keys, part))
+    order = np.argsort(keys)
+    order = order[np.argsort(part[order].astype(np.int16 if parts < 1 << 15 else np.int64), kind="stable")]
     cuts = np.flatnonzero(np.diff(part[order])) + 1
     for own in np.split(order, cuts):
         if len(own):
@@ -177,7 +181,7 @@ def _by_part(keys: np.ndarray, parts: int):
 
 def _texts(docs: pa.Table) -> Texts:
     ids = docs.column("id").to_pylist()
-    raws = [(t or "").encode() for t in docs.column("text").to_pylist()]
+    raws = [t or b"" for t in docs.column("text").cast(pa.binary()).to_pylist()]
     live = [i for i, d in enumerate(ids) if d is not None]
     return Texts([ids[i] for i in live], [raws[i] for i in live])
 
@@ -221,8 +225,12 @@ def deduplicate(
         own = _texts(group)
         h, doc, _, _ = own.anchors()
         h = h >> _u64(16)
-        pairs = np.unique(np.stack([h, own.ids[doc].astype(np.uint64)], axis=1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
-        keys, n = np.unique(pairs[:, 0], return_counts=True)
+        # Anchors come document by document, so a stable order shows a document once for each gram.
+        order = np.argsort(h, kind="stable")
+        h, doc = h[order], doc[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        keys, n = np.unique(h[new], return_counts=True)
         rows = [
             (part, bucket, _pack_sorted(keys[i]), _pack(n[i].astype(np.int32))) for part, i in _by_part(keys, parts)
         ]
@@ -340,18 +348,18 @@ def deduplicate(
         return np.concatenate(out)
 
     def kept(group: pa.Table, replies: pa.Table) -> pa.Table:
-        ids, given = group.column("id").to_pylist(), group.column("text").to_pylist()
+        ids, given = group.column("id").to_pylist(), group.column("text").cast(pa.binary()).to_pylist()
         own = _texts(group)
         cover = np.zeros(len(own.raw) + 1, np.int32)
         found = repeats(own, replies)
-        np.add.at(cover, found, 1)
-        np.add.at(cover, found + LENGTH, -1)
+        cover += np.bincount(found, minlength=len(cover)).astype(np.int32)
+        cover -= np.bincount(found + LENGTH, minlength=len(cover)).astype(np.int32)
         gone = np.cumsum(cover)[:-1] > 0
         rows, live = [], 0
         for d, t in zip(ids, given):
-            raw = (t or "").encode()
+            raw = t or b""
             if d is None:
-                rows.append((d, len(raw), 0, 0, (t or "") if texts else hashlib.sha256(raw).hexdigest()))
+                rows.append((d, len(raw), 0, 0, raw.decode() if texts else hashlib.sha256(raw).hexdigest()))
                 continue
             a, b = own.starts[live], own.ends[live]
             live += 1
@@ -360,7 +368,7 @@ def deduplicate(
             left = own.raw[a:b][~out].tobytes() if n else raw
             runs = int(out[:1].sum() + (out[1:] & ~out[:-1]).sum()) if n else 0
             if texts:
-                last = t if not n else "".join(p.decode(errors="ignore") for p in _pieces(own.raw[a:b], out))
+                last = raw.decode() if not n else "".join(p.decode(errors="ignore") for p in _pieces(own.raw[a:b], out))
             else:
                 last = hashlib.sha256(left).hexdigest()
             rows.append((d, len(raw), n, runs, last))
