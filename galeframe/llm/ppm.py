@@ -15,6 +15,7 @@ by document. Word counts for the base model go the same way.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,18 @@ def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == wanted
 
 
+def _looked_up(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Index of each wanted key, all of which are there, by a hash table that colliding keys fall out of."""
+    bits = max(10, (4 * len(keys)).bit_length())
+    mix, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - bits)
+    slots = np.zeros(1 << bits, np.int32)
+    slots[(keys * mix) >> shift] = np.arange(len(keys), dtype=np.int32)
+    at = slots[(wanted * mix) >> shift]
+    lost = np.flatnonzero(keys[at] != wanted)
+    at[lost] = np.searchsorted(keys, wanted[lost])
+    return at
+
+
 class Level:
     """The contexts of one length: their symbols and counts, totals, and numbers of symbols."""
 
@@ -251,15 +264,17 @@ def scores(
             words = [words_of(t) for t in group.column("text").to_pylist()]
             keys, value = told(replies, GRAMS, np.float32)
             full, starts = grams_of(words, order)
-            at, _ = _at(keys, full)
-            model = np.add.reduceat(value[at].astype(np.float64), starts) / np.log(10)
+            model = np.add.reduceat(value[_looked_up(keys, full)], starts, dtype=np.float64) / np.log(10)
             ids, counts = told(replies, WORDS, np.int64)
             names = list({w for own in words for w in own} | {b""})
             at, _ = _at(ids, word_ids(names))
             count = dict(zip(names, counts[at].tolist()))
-            for d, own, m in zip(group.column("id").to_pylist(), words, model.tolist()):
-                c = np.array([count[w] for w in own] + [count[b""]], np.float64)
-                rows.append((d, len(c), int((c > 0).sum()), float(np.log10(c + 1).sum()), m))
+            size = np.array([len(own) + 1 for own in words])
+            tokens = chain.from_iterable(chain(own, (b"",)) for own in words)
+            c = np.fromiter(map(count.__getitem__, tokens), np.int64, int(size.sum()))
+            head = np.cumsum(size) - size
+            known, logs = np.add.reduceat((c > 0).astype(np.int64), head), np.add.reduceat(np.log10(c + 1), head)
+            rows = list(zip(group.column("id").to_pylist(), *(x.tolist() for x in (size, known, logs, model))))
         return _table(rows, [key, "n_tokens", "n_known", "logs", "score"], [group.schema.field("id").type, pa.int64(), pa.int64(), pa.float64(), pa.float64()])
 
     # The texts are shuffled once for both passes, and the questions once for all that follows.
