@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galeframe.functions import add_hours
+from galeframe.operators.joins import listed
 from galeframe.operators.ordered import first_rows, shifted, with_group_stats
 from galeframe.operators.quantiles import exact_quantiles
 
@@ -349,7 +350,7 @@ def normalised_series(df: DataFrame, days: int = 31) -> DataFrame:
 
 
 def metric_series(log: DataFrame, tags: Sequence[str]) -> DataFrame:
-    """Training log (run, step, tag, value) to one column per tag."""
-    return log.groupBy("run", "step").agg(
+    """Training log (run, step, tag, value) to one column per tag; an unlisted tag is an error."""
+    return log.filter(listed("tag", tags)).groupBy("run", "step").agg(
         *[F.max(F.when(F.col("tag") == t, F.col("value"))).alias(t) for t in tags]
     )

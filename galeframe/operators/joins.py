@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galeframe.functions import add_hours
-from galeframe.operators.ordered import first_rows, known_neighbours
+from galeframe.operators.ordered import known_neighbours, number_rows
 
 
 def join_power(power: DataFrame, runs: DataFrame) -> DataFrame:
@@ -105,9 +105,13 @@ def to_wide(
     df: DataFrame, key: str | Sequence[str], name: str, value: str, names: Iterable, prefix: str,
     complete: bool = False,
 ) -> DataFrame:
-    """Long to wide over a fixed list of names; ``complete`` keeps keys that have them all."""
+    """Long to wide over a fixed list of names; ``complete`` keeps keys that have them all.
+
+    A name that is not listed would be lost, so it ends the job with an error.
+    """
     keys = [key] if isinstance(key, str) else list(key)
     names = list(names)
+    df = df.filter(listed(name, names))
     wide = df.groupBy(*keys).agg(
         *[F.max(F.when(F.col(name) == n, F.col(value))).alias(f"{prefix}{n}") for n in names],
         F.count_distinct(F.when(F.col(name).isin(names), F.col(name))).alias("_seen")
@@ -117,6 +121,13 @@ def to_wide(
     return wide.filter(F.col("_seen") == len(names)).drop("_seen")
 
 
+def listed(name: str, names: Sequence) -> Column:
+    """True for listed and NULL names; any other is an error."""
+    known = F.col(name).isNull() | F.col(name).isin(list(names))
+    message = F.concat(F.lit(f"{name} not listed: "), F.col(name).cast("string"))
+    return F.when(known, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+
+
 def to_long(df: DataFrame, key: str, columns: dict[str, int], name: str = "site",
             value: str = "power") -> DataFrame:
     """Wide to long: each column becomes rows labelled with its number; NULLs stay."""
@@ -171,19 +182,21 @@ def last_known(
 
 
 def recent_rows(
-    left: DataFrame, left_time: str, right: DataFrame, right_time: str, n: int, hours: int,
+    left: DataFrame, left_time: str, right: DataFrame, right_time: str, n: int,
     keys: Sequence[str] = ("site",),
 ) -> DataFrame:
-    """The last ``n`` right rows strictly before each left time, within ``hours``.
+    """The last ``n`` right rows strictly before each left time, however long ago.
 
-    A range join by equality: each left row asks for every hour of its bounded look-back.
+    The right rows of a series are numbered; each left row learns the number of the last one
+    before it and joins the ``n`` that end there. Left rows need a unique (keys, time).
     """
     keys = list(keys)
-    asked = left.withColumn("_back", F.explode(F.sequence(F.lit(1), F.lit(hours)))).withColumn(
-        right_time, add_hours(left_time, -F.col("_back"))
-    )
-    joined = asked.join(right, [*keys, right_time])
-    return first_rows(joined, [*keys, left_time], [F.col("_back")], n).drop("_back")
+    numbered = number_rows(right, keys, right_time, "_at")
+    ends = last_known(left, left_time, numbered, right_time, "_at", keys, "_last", strictly=True)
+    back = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = ends.filter(F.col("_last").isNotNull()).withColumn("_back", back)
+    asked = asked.withColumn("_at", F.col("_last").cast("long") - F.col("_back")).drop("_last", "_back")
+    return asked.join(numbered.withColumn("_at", F.col("_at").cast("long")), [*keys, "_at"]).drop("_at")
 
 
 def run_issued_at(windows: DataFrame, at: str, runs: DataFrame) -> DataFrame:

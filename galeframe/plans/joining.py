@@ -125,7 +125,6 @@ def _(spark, sf):
               WHERE (datediff('hour', TIMESTAMP '2024-01-01', date) - 1) % 168 = 120)
        SELECT b.site, b.t, l.new_date, l.ws
        FROM block b JOIN latest l ON l.site = b.site AND l.new_date < b.t
-            AND l.new_date >= b.t - INTERVAL 72 HOUR
        QUALIFY row_number() OVER (PARTITION BY b.site, b.t ORDER BY l.new_date DESC) <= 36""",
 )
 def _(spark, sf):
@@ -135,7 +134,7 @@ def _(spark, sf):
         .filter((hour_number("date") - 1) % 168 == 120)
         .select("site", F.col("date").alias("t"))
     )
-    return op.recent_rows(blocks, "t", latest, "new_date", 36, 72).select(
+    return op.recent_rows(blocks, "t", latest, "new_date", 36).select(
         "site", "t", "new_date", "ws"
     )
 

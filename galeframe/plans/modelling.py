@@ -20,19 +20,19 @@ def zero_rows(spark, sf, by="user"):
 
 @query("kmeans_outliers")
 def _(spark, sf):
-    return outliers.kmeans_outliers(zero_rows(spark, sf), clusters=8, min_sample=12000)
+    return outliers.kmeans_outliers(zero_rows(spark, sf), clusters=100, min_sample=40)
 
 
 @query("a4_cluster_counts")
 def _(spark, sf):
-    marked = outliers.kmeans_outliers(zero_rows(spark, sf, "kind"), clusters=8, min_sample=25)
+    marked = outliers.kmeans_outliers(zero_rows(spark, sf, "kind"), clusters=50, min_sample=20)
     return marked.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("denoise_power")
 def _(spark, sf):
     rows = near(spark, sf, "kind").select("site", "date", "u", "v", "power")
-    return outliers.denoise_power(rows, clusters=8, min_sample=25)
+    return outliers.denoise_power(rows, clusters=100, min_sample=40)
 
 
 @query("kmeans_elbow")
@@ -46,7 +46,7 @@ def _(spark, sf):
 
     rows = near(spark, sf, "kind").select("site", "date", "u", "v", "power")
     marked = outliers.kmeans_outliers(
-        rows.filter(F.col("power") == 0), clusters=8, min_sample=25
+        rows.filter(F.col("power") == 0), clusters=100, min_sample=40
     ).select("site", "date", "cluster")
     return zero_scatter(rows.join(marked, ["site", "date"], "left"))
 
@@ -88,7 +88,7 @@ def _split(rows):
 def _(spark, sf):
     train, test = _split(training_rows(spark, sf))
     model = models.fit_gbt(train, FEATURES, leaves=20, trees=5)
-    predicted = model.transform(test)
+    predicted = models.predict(test, model, FEATURES)
     scored = metrics.score(predicted, "power", "predicted", ["site"])
     return scored.select("site", "n", "rmse")
 
@@ -98,7 +98,7 @@ def _(spark, sf):
     train, test = _split(training_rows(spark, sf))
     model = models.fit_gbt(train, FEATURES, leaves=20, trees=3)
     gate = models.fit_gate(train, FEATURES, threshold=0.1, leaves=20, trees=3)
-    return models.gated(model.transform(test), gate).select(
+    return models.gated(models.predict(test, model, FEATURES), gate).select(
         "site", "date", "start", "power", "predicted", "gate", "gate_probability"
     )
 
@@ -106,7 +106,7 @@ def _(spark, sf):
 @query("param_sweep")
 def _(spark, sf):
     train, _ = _split(training_rows(spark, sf))
-    return models.sweep_leaves(train, FEATURES, [4, 8, 16], trees=3)
+    return models.sweep_leaves(train, FEATURES, [4, 8, 10, 16], trees=3)
 
 
 @query("feature_importance")

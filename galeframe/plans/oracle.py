@@ -42,7 +42,7 @@ _VIEWS = {
         SELECT o.site, s.start, CAST(datediff('hour', s.start, o.date) AS INTEGER) AS dist,
                o.date AS new_date, datediff('hour', TIMESTAMP '2024-01-01', o.date) AS h, o.power
         FROM obs o JOIN (
-            SELECT unnest(generate_series(TIMESTAMP '2024-01-01', (SELECT max(date) FROM obs),
+            SELECT unnest(generate_series((SELECT date_trunc('day', min(ts)) FROM events), (SELECT max(date) FROM obs),
                                           INTERVAL 12 HOUR)) AS start) s
           ON o.date > s.start AND o.date <= s.start + INTERVAL 48 HOUR""",
     "polar": """

@@ -104,13 +104,16 @@ def runs(spark: SparkSession, sf: str, by: str = "user") -> DataFrame:
     h = hour_number("date")
     latest = F.floor((h - 1) / F.lit(ISSUE_EVERY)) * ISSUE_EVERY
     issue = F.expr(f"sequence(0, {HORIZON // ISSUE_EVERY - 1})")
+    # No run is issued before the day of the first event.
+    day = table(spark, sf, "events").select(F.date_trunc("day", F.min("ts")).cast("timestamp_ntz").alias("d"))
+    first = day.select(hour_number("d")).scalar()
     generated = (
         obs(spark, sf, by)
         .withColumn("_h", h)
         .withColumn("_latest", latest)
         .withColumn("_k", F.explode(issue))
         .withColumn("_s", F.col("_latest") - F.col("_k") * ISSUE_EVERY)
-        .filter(F.col("_s") >= 0)
+        .filter(F.col("_s") >= first)
         .withColumn("dist", (F.col("_h") - F.col("_s")).cast("int"))
         .withColumn("start", add_hours("date", -F.col("dist")))
         .withColumn(
