@@ -125,15 +125,15 @@ def fit_weights(rows, cols, swapped_rows, swapped_cols, labels, weight, width, s
 def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", settings: Settings = Settings()) -> Model:
     """Fits on labelled documents for which ``train`` (over ``doc_id`` of ``labels``) holds.
 
-    Rows without id or label are no examples. Without an example of both classes the model is a
-    constant: the share of label 1, or 0 if there is none.
+    Rows without id or label are no examples. Without labels of both classes, or documents of
+    both, the model is a constant.
     """
     marked = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(
         F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & train
     )
     share = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
     if not share.get(0) or not share.get(1):
-        return Model({}, -4.0 if not share.get(1) else 4.0)
+        return Model({}, 4.0 if share.get(1) else -4.0)
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = marked.filter("y = 1").orderBy(*order).limit(settings.sample).unionByName(
         marked.filter("y = 0").orderBy(*order).limit(settings.sample)
@@ -161,8 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic",
     )
     # Features seen in no toxic document can't tell one; of the others the most telling are kept.
     base = counts.filter("feature = ''").select(F.col("pos").alias("n1"), F.col("neg").alias("n0")).first()
-    if base is None:
-        return Model({}, -4.0)
+    if base is None or not base["n1"] or not base["n0"]:  # labels of documents that are not there
+        return Model({}, float(np.log(share[1] / share[0])))
     p1, p0 = (F.col("pos") + 0.5) / (base["n1"] + 1), (F.col("neg") + 0.5) / (base["n0"] + 1)
     lead = (p1 - p0) / F.sqrt(p1 * (1 - p1) / (base["n1"] + 1) + p0 * (1 - p0) / (base["n0"] + 1))
     kept = (
