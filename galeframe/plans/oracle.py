@@ -91,9 +91,9 @@ def _needed(text: str) -> list[str]:
 
 def with_views(body: str, by: str = "user") -> str:
     """Prefixes ``body`` with the views it names. A body may bring more CTEs of its own by
-    starting with ``WITH``."""
+    starting with ``WITH``. Every view is made once, however often it is named."""
     ctes = [
-        f"{name} AS ({_VIEWS[name].format(site=_SITES[by])})" for name in _needed(body)
+        f"{name} AS MATERIALIZED ({_VIEWS[name].format(site=_SITES[by])})" for name in _needed(body)
     ]
     body = body.strip()
     if not ctes:

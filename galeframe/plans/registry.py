@@ -11,7 +11,11 @@ from galeframe.plans.oracle import with_views
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("projections", "filters", "joining", "series", "aggregates", "cleaning", "sequences", "scoring", "exploration", "modelling", "scanning", "workflows")
+#: The windows come last: their results are by far the largest.
+MODULES = (
+    "projections", "filters", "joining", "series", "aggregates", "cleaning", "scoring", "exploration", "modelling",
+    "scanning", "workflows", "sequences",
+)
 
 PLANS: dict[str, Plan] = {}
 SQL: dict[str, str] = {}
