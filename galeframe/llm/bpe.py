@@ -24,8 +24,12 @@ from pyspark.sql import DataFrame
 from galeframe.llm.common import column, pieces
 
 BLANKS = b" \t\n\v\f\r"
-#: Bytes the rolling hash sees, mean chunk length, and entries of one generation of the two memos.
-SEEN, MEAN, CHUNKS, WORDS = 16, 512, 10_000, 400_000
+#: Bytes the rolling hash sees, and mean chunk length.
+SEEN, MEAN = 16, 512
+#: Words and chunks of one generation of the memos, about 120 MB in all.
+WORDS, CHUNKS = 400_000, 8_000
+#: Bytes of text encoded at once.
+PIECE = 1 << 20
 
 
 def cuts(raw: np.ndarray, mean: int = MEAN) -> np.ndarray:
@@ -79,14 +83,14 @@ class Memo:
 class Encoder:
     """Encodes and decodes texts by reused chunks; one per worker process and tokenizer file."""
 
-    def __init__(self, path: str, mean: int = MEAN):
+    def __init__(self, path: str, mean: int = MEAN, words: int = WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.mean = mean
-        self.chunks, self.words = Memo(CHUNKS), Memo(WORDS)
+        self.chunks, self.words = Memo(max(1, words * CHUNKS // WORDS)), Memo(words)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.names = [""] * (max(vocab.values(), default=-1) + 1)
         for name, token in vocab.items():
@@ -193,28 +197,32 @@ def agrees(encoder: Encoder, raw: bytes) -> bool:
     return True
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder_of(path: str, mean: int = MEAN) -> Encoder:
-    if (path, mean) not in _ENCODERS:
-        _ENCODERS[path, mean] = Encoder(path, mean)
-    return _ENCODERS[path, mean]
+def encoder_of(*settings) -> Encoder:
+    """The encoder of this process with these settings; others are given up for it."""
+    if settings not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[settings] = Encoder(*settings)
+    return _ENCODERS[settings]
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", mean: int = MEAN) -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", mean: int = MEAN, words: int = WORDS
+) -> DataFrame:
     """Token ids and decoded text of every whole document: ``key``, ``n_tokens``, ``ids``, ``decoded``.
 
     ``path`` names a tokenizers file whose pre-tokens end at blanks, and is read on the executors.
     NULL counts as empty and gives no ids and an empty decoded text. Rows keep their number and
     order; other columns are ignored. Memory per worker is one piece of texts and the two memos,
-    which forget what they have not met for long.
+    which forget what they have not met for long; ``words`` is their size.
     """
     kind = dict(docs.dtypes)[key]
 
     def run(batches):
-        coder = encoder_of(path, mean)
-        for batch in pieces(batches):
+        coder = encoder_of(path, mean, words)
+        for batch in pieces(batches, limit=PIECE):
             got = coder.digests([(t or "").encode() for t in column(batch, "text").to_pylist()])
             ids = [np.fromstring(g[1], np.int32, sep=" ") if g[1] else np.zeros(0, np.int32) for g in got]
             ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
@@ -240,8 +248,8 @@ def encode_digests(
     kind = dict(docs.dtypes)[key]
 
     def run(batches):
-        coder = encoder_of(path, mean)
-        for batch in pieces(batches):
+        coder = encoder_of(path, mean, WORDS)
+        for batch in pieces(batches, limit=PIECE):
             got = coder.digests([(t or "").encode() for t in column(batch, "text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [

@@ -11,7 +11,15 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 4 << 20
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Has Arrow carry fewer rows at once, for rows may be whole books; a session's own setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, rows)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
