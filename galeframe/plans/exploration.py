@@ -196,7 +196,7 @@ def _(spark, sf):
               FROM features WHERE NOT flag GROUP BY 1, 2)
        SELECT site, date, CAST(row_number() OVER (PARTITION BY site ORDER BY date) AS INTEGER) AS place,
               CASE WHEN wp < 0 THEN 0 WHEN wp >= 92e-2 THEN 92e-2 ELSE wp END AS wp, power
-       FROM p QUALIFY place <= 100""",
+       FROM p QUALIFY place <= 480""",
 )
 def _(spark, sf):
     latest = (
@@ -205,20 +205,20 @@ def _(spark, sf):
         .groupBy("site", "date")
         .agg(F.max_by("ws_power", "start").alias("wp"), F.max("power").alias("power"))
     )
-    return explore.compare_slice(latest, "wp", 100)
+    return explore.compare_slice(latest, "wp", 480)
 
 
 @query(
     "normalised_series",
     """WITH near AS (SELECT site, date, ws, power FROM features WHERE catagory = 1),
             cut AS (SELECT n.* FROM near n JOIN (SELECT site, min(date) AS t FROM near GROUP BY site) f
-                    ON f.site = n.site WHERE n.date <= f.t + INTERVAL 10 DAY),
+                    ON f.site = n.site WHERE n.date <= f.t + INTERVAL 31 DAY),
             peak AS (SELECT site, max(ws) AS m FROM cut GROUP BY site)
        SELECT site, date, ws / m AS ws, power FROM cut JOIN peak USING (site)""",
 )
 def _(spark, sf):
     near = views.features(spark, sf).filter(F.col("catagory") == 1)
-    return explore.normalised_series(near.select("site", "date", "ws", "power"), 10)
+    return explore.normalised_series(near.select("site", "date", "ws", "power"), 31)
 
 
 @query("x13_site_boxes", box_sql("obs", "site", "power"), by="kind")

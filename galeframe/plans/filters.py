@@ -67,20 +67,20 @@ def _(spark, sf):
     "first_days",
     """WITH first AS (SELECT site, min(date) AS t FROM obs_sparse GROUP BY site)
        SELECT site, date, power FROM obs_sparse JOIN first USING (site)
-       WHERE date <= t + INTERVAL 10 DAY""",
+       WHERE date <= t + INTERVAL 31 DAY""",
 )
 def _(spark, sf):
-    return op.first_days(views.obs_sparse(spark, sf), 10)
+    return op.first_days(views.obs_sparse(spark, sf), 31)
 
 
 @query(
     "f8_days_before_test",
     """SELECT site, date, power FROM obs WHERE flag
-       AND date >= (SELECT min(date) FROM truth) - INTERVAL 10 DAY""",
+       AND date >= (SELECT min(date) FROM truth) - INTERVAL 31 DAY""",
 )
 def _(spark, sf):
     train = views.obs(spark, sf).filter("flag").select("site", "date", "power")
-    return op.days_before_test(train, views.truth(spark, sf), 10)
+    return op.days_before_test(train, views.truth(spark, sf), 31)
 
 
 @query("f9_first_category", "SELECT site, start, date, dist, ws FROM features WHERE catagory = 1")
