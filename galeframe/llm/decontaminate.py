@@ -14,13 +14,15 @@ from pyspark.sql.window import Window
 
 from galeframe.session import durable
 
-#: Placeholders, from the private-use area; such characters in a text are taken out first.
-NUMBER_MARK, NAME_MARK, UNIT_MARK = "", "", ""
+#: Placeholders, from the private-use area, and the end of a name that is still to be replaced;
+#: such characters in a text are taken out first.
+NUMBER_MARK, NAME_MARK, UNIT_MARK, NAME_END = "\ue000", "\ue001", "\ue002", "\ue003"
 MARKS = NUMBER_MARK + NAME_MARK + UNIT_MARK
-#: A name: capitalised words inside a sentence.
-NAME = r"([\p{L}0-9,;] )(\p{Lu}\p{Ll}[\p{L}\p{M}]*(?: \p{Lu}\p{Ll}[\p{L}\p{M}]*)*)"
+#: A capitalised word inside a sentence. No pattern repeats a group: on a long run of names or
+#: numbers Java would go as deep as the run is long.
+NAME_WORD = r"\p{Lu}(?<=[\p{L}\p{M}0-9,;] .)\p{Ll}[\p{L}\p{M}]*"
 #: A number, or several with no word between them.
-NUMBER = rf"[0-9]+(?:[^\p{{L}}\p{{M}}{NAME_MARK}]*[0-9]+)*"
+NUMBER = rf"[0-9](?:[^\p{{L}}\p{{M}}{NAME_MARK}]*[0-9])?"
 UNITS = (
     "km", "kilometers", "kilometres", "m", "meters", "metres", "cm", "mm", "miles", "mile", "feet", "foot", "ft",
     "inches", "inch", "yards", "kg", "kilograms", "g", "grams", "mg", "pounds", "lb", "ounces", "oz", "tons", "l",
@@ -36,11 +38,13 @@ BROADCAST_ROWS = 1 << 20
 
 
 def _steps(text: Column) -> tuple[Column, Column, Column, Column]:
-    """The text without marks, with names, with numbers too, and with units too replaced."""
-    clean = F.translate(F.coalesce(text, F.lit("")), MARKS, "")
-    named = F.lower(F.regexp_replace(clean, NAME, f"$1{NAME_MARK}"))
+    """The text with names marked, with them replaced, and with numbers, then units too replaced."""
+    clean = F.translate(F.coalesce(text, F.lit("")), MARKS + NAME_END, "")
+    words = F.regexp_replace(clean, NAME_WORD, f"{NAME_MARK}$0{NAME_END}")
+    marked = F.replace(words, F.lit(f"{NAME_END} {NAME_MARK}"), F.lit(" "))  # names in a row are one
+    named = F.lower(F.regexp_replace(marked, f"{NAME_MARK}[^{NAME_END}]*{NAME_END}", NAME_MARK))
     numbered = F.regexp_replace(named, NUMBER, f" {NUMBER_MARK} ")
-    return clean, named, numbered, F.regexp_replace(numbered, UNIT, f"$1{UNIT_MARK}$3")
+    return marked, named, numbered, F.regexp_replace(numbered, UNIT, f"$1{UNIT_MARK}$3")
 
 
 def template(text: Column) -> Column:
@@ -59,21 +63,19 @@ def _hashes(words: str) -> Column:
 
 def _slots(texts: DataFrame, key: str) -> DataFrame:
     """(key, p, kind, value): the value that each placeholder of a template stands for."""
-    clean, named, numbered, done = _steps(F.col("text"))
-    parts = texts.select(
-        key,
-        F.posexplode(F.array_remove(F.split(done, BREAK), "")).alias("p", "kind"),
-        F.regexp_extract_all(clean, F.lit(NAME), 2).alias("names"),
-        F.regexp_extract_all(named, F.lit(NUMBER), 0).alias("numbers"),
-        F.regexp_extract_all(numbered, F.lit(UNIT), 2).alias("units"),
-    ).filter(F.col("kind").isin(*MARKS))
-    k = F.row_number().over(Window.partitionBy(key, "kind").orderBy("p"))
-    values = (
-        F.when(F.col("kind") == NAME_MARK, F.col("names"))
-        .when(F.col("kind") == NUMBER_MARK, F.col("numbers"))
-        .otherwise(F.col("units"))
-    )
-    return parts.withColumn("k", k).select(key, "p", "kind", F.lower(F.get(values, F.col("k") - 1)).alias("value"))
+    marked, named, numbered, done = _steps(F.col("text"))
+    at = texts.select(key, F.posexplode(F.array_remove(F.split(done, BREAK), "")).alias("p", "kind"))
+    at = at.filter(F.col("kind").isin(*MARKS))
+    at = at.withColumn("k", F.row_number().over(Window.partitionBy(key, "kind").orderBy("p")) - 1)
+    values = None
+    for kind, found in (
+        (NAME_MARK, F.regexp_extract_all(marked, F.lit(f"{NAME_MARK}([^{NAME_END}]*){NAME_END}"), 1)),
+        (NUMBER_MARK, F.regexp_extract_all(named, F.lit(NUMBER), 0)),
+        (UNIT_MARK, F.regexp_extract_all(numbered, F.lit(UNIT), 2)),
+    ):
+        own = texts.select(key, F.lit(kind).alias("kind"), F.posexplode(found).alias("k", "value"))
+        values = own if values is None else values.unionByName(own)
+    return at.join(values, [key, "kind", "k"]).select(key, "p", "kind", F.lower("value").alias("value"))
 
 
 def small(side: DataFrame) -> DataFrame:
@@ -160,9 +162,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", it
 
 
 def oracle_sql() -> str:
-    """The same in DuckDB, on the words of the windows in place of their hashes."""
-    clean = f"translate(coalesce(text, ''), '{MARKS}', '')"
-    named = f"lower(regexp_replace(a, '{NAME}', '\\1{NAME_MARK}', 'g'))"
+    """The same in DuckDB, on the words of the windows in place of their hashes.
+
+    Its patterns know no look-behind but may repeat groups.
+    """
+    name = r"([\p{L}\p{M}0-9,;] )(\p{Lu}\p{Ll}[\p{L}\p{M}]*(?: \p{Lu}\p{Ll}[\p{L}\p{M}]*)*)"
+    clean = f"translate(coalesce(text, ''), '{MARKS}{NAME_END}', '')"
+    named = f"lower(regexp_replace(a, '{name}', '\\1{NAME_MARK}', 'g'))"
     numbered = f"regexp_replace(b, '{NUMBER}', ' {NUMBER_MARK} ', 'g')"
     done = f"regexp_replace(c, '{UNIT}', '\\1{UNIT_MARK}\\3', 'g')"
 
@@ -180,17 +186,17 @@ def oracle_sql() -> str:
         return f"""
   SELECT {key}, p AS {pos}, kind, lower(CASE kind WHEN '{NAME_MARK}' THEN names WHEN '{NUMBER_MARK}' THEN numbers ELSE units END[
       row_number() OVER (PARTITION BY {key}, kind ORDER BY p)]) AS v_{pos}
-  FROM (SELECT {key}, regexp_extract_all(a, '{NAME}', 2) AS names, regexp_extract_all(b, '{NUMBER}') AS numbers,
+  FROM (SELECT {key}, regexp_extract_all(a, '{name}', 2) AS names, regexp_extract_all(b, '{NUMBER}') AS numbers,
       regexp_extract_all(c, '{UNIT}', 2) AS units, unnest(range(len(w))) AS p, unnest(w) AS kind FROM {source})
   WHERE kind IN ('{NUMBER_MARK}', '{NAME_MARK}', '{UNIT_MARK}')"""
 
     return f"""
 WITH items AS (SELECT text, min(item_id) AS item FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL GROUP BY text),
-iw AS ({words("items", "item")}),
-dw AS ({words("(SELECT doc_id AS doc, text FROM documents WHERE doc_id IS NOT NULL)", "doc")}),
+iw AS MATERIALIZED ({words("items", "item")}),
+dw AS MATERIALIZED ({words("(SELECT doc_id AS doc, text FROM documents WHERE doc_id IS NOT NULL)", "doc")}),
 wanted AS ({windows("iw", "item", "ipos")}),
-seen AS ({windows("dw", "doc", "pos")}),
-found AS (SELECT DISTINCT doc, item, ipos, pos - ipos AS shift FROM seen JOIN wanted USING (h)),
+seen AS MATERIALIZED ({windows("dw", "doc", "pos")}),
+found AS MATERIALIZED (SELECT DISTINCT doc, item, ipos, pos - ipos AS shift FROM seen JOIN wanted USING (h)),
 sizes AS (SELECT item, count(*) AS n FROM wanted GROUP BY item),
 enough AS (
   SELECT doc, item, count(DISTINCT ipos) / any_value(n) AS coverage FROM found JOIN sizes USING (item)

@@ -56,6 +56,12 @@ def test_templates(spark):
     assert frame.first().w == ["in", a, "paid", n, u, "and", n, u, n, "go"]
 
 
+def test_long_runs_of_names_and_numbers(spark, benchmark):
+    rows = [(1, "so " + "Anna " * 60_000 + "x"), (2, "1, " * 60_000), (3, ("Anna Berg " * 3 + "12 kg. ") * 9000 + ITEM), (4, "a" * 300_000)]
+    got = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()
+    assert {r.doc_id: r["items"] for r in got} == {1: [], 2: [], 3: [1], 4: []}
+
+
 def test_large_sides_are_not_broadcast(spark, benchmark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     docs = spark.createDataFrame([(i, t) for i, (t, _, _) in CASES.items()], "doc_id long, text string")
