@@ -225,8 +225,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 # Wide fingerprints: a similarity in place of a number of bits.
 
 WIDE = 1024
-#: Others of the same group value that a fingerprint is compared with, the nearest in order.
-AHEAD = 48
+#: Others of the same group value that a fingerprint is compared with, the next in order.
+AHEAD = 16
 #: Values with more fingerprints are ordered in parts of about this many.
 PART = 4096
 
@@ -246,9 +246,9 @@ def similar_documents(
     agree. So the fingerprint is of 1,024 bits, in groups of a few more bits than it takes to tell
     all fingerprints apart, each with threshold 0: pairs that differ in fewer bits than there are
     groups are found for certain, others with a chance that grows with the groups. What is found is
-    verified on all bits. A fingerprint is compared with the AHEAD that follow it in an order that
-    is another in every group, so a crowd of copies costs in proportion to its size, and its closure
-    joins them. Rows without a key take no part.
+    verified on all bits. Those of one value are put in the order of the next group's values, so that
+    the most alike are neighbours, and each is compared with the AHEAD that follow: a crowd of copies
+    costs in proportion to its size, and the closure over all groups joins it. Rows without a key take no part.
     """
     kind = dict(docs.dtypes)[key]
 
@@ -270,14 +270,18 @@ def similar_documents(
             value = (bits.astype(np.int64) << np.arange(width)).sum(axis=2)
             node = np.repeat(column(batch, "node").to_numpy(zero_copy_only=False), groups)
             group = np.tile(np.arange(groups, dtype=np.int32), len(raw))
-            yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(value.ravel()), pa.array(node)], ["g", "value", "node"])
+            following = np.roll(value, -1, axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(group), pa.array(value.ravel()), pa.array(following.ravel()), pa.array(node)],
+                ["g", "value", "following", "node"],
+            )
 
-    keyed = prints.mapInArrow(values, f"g int, value long, node {kind}")
+    keyed = prints.mapInArrow(values, f"g int, value long, following long, node {kind}")
     crowded = keyed.groupBy("g", "value").agg(F.count("*").alias("n")).filter(F.col("n") > PART)
     parts = F.coalesce(F.ceil(F.col("n") / PART), F.lit(1))
     spread = keyed.join(crowded, ["g", "value"], "left").withColumn("mix", F.xxhash64("node", "g"))
-    spread = spread.select("g", "value", "node", "mix", F.pmod("mix", parts).alias("part"))
-    ahead = Window.partitionBy("g", "value", "part").orderBy("mix", "node").rowsBetween(1, AHEAD)
+    spread = spread.select("g", "value", "following", "node", "mix", F.pmod(F.xxhash64("following"), parts).alias("part"))
+    ahead = Window.partitionBy("g", "value", "part").orderBy("following", "mix", "node").rowsBetween(1, AHEAD)
     pairs = (
         spread.select(F.col("node").alias("a"), F.collect_list("node").over(ahead).alias("others"))
         .filter(F.size("others") > 0).select("a", F.explode("others").alias("b"))
