@@ -38,7 +38,7 @@ class Settings:
     """Bytes of text a bucket and a part are meant for; documents from which a gram counts as crowded."""
 
     bucket_bytes: int = 6 << 20
-    part_bytes: int = 24 << 20
+    part_bytes: int = 6 << 20
     crowded: int = 5000
 
 
