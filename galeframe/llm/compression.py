@@ -21,8 +21,9 @@ class Bands:
 
     ``limits`` has (below this length, least ratio, largest ratio); short texts compress badly, so
     their bands lie higher. A document fails if its own ratio is outside its band, or if more than
-    ``bad_share`` of its whole chunks of ``chunk`` bytes are outside ``chunk_band``. Below
-    ``least`` bytes a ratio says nothing and passes.
+    ``bad_share`` of its chunks of ``chunk`` bytes are outside ``chunk_band``; the last chunk ends
+    with the text, so all bytes of a text of a chunk or more are in one. Below ``least`` bytes a
+    ratio says nothing and passes.
     """
 
     limits: tuple = field(
@@ -65,18 +66,20 @@ def repeated_lines(text: bytes) -> int:
 
 
 def judged(raw: bytes, bands: Bands, packer) -> tuple[float, int, int, bool]:
-    """Ratio of the whole, number of whole chunks, of those outside their band, and the verdict."""
+    """Ratio of the whole, number of chunks, of those outside their band, and the verdict."""
     if not raw:
         return 0.0, 0, 0, False
     ratio = len(packer.compress(raw)) / len(raw)
     low, high = next((lo, hi) for below, lo, hi in bands.limits if len(raw) < below)
-    whole = len(raw) // bands.chunk
+    starts = list(range(0, len(raw) - bands.chunk + 1, bands.chunk))
+    if starts and len(raw) % bands.chunk:
+        starts.append(len(raw) - bands.chunk)
     bad = 0
-    for k in range(whole):
-        part = raw[k * bands.chunk : (k + 1) * bands.chunk]
+    for at in starts:
+        part = raw[at : at + bands.chunk]
         bad += not bands.chunk_band[0] <= len(packer.compress(part)) / len(part) <= bands.chunk_band[1]
     fits = len(raw) < bands.least or low <= ratio <= high
-    return ratio, whole, bad, fits and bad <= bands.bad_share * whole
+    return ratio, len(starts), bad, fits and bad <= bands.bad_share * len(starts)
 
 
 FIELDS = (
@@ -103,7 +106,7 @@ def compression_rules(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 words = raw.split()
                 repeats = repeated_words(words)
                 failed = len(words) < 50 or 100 * repeats > 50 * len(words)
-                ratio, whole, bad, fits = judged(raw, bands, packer)
+                ratio, chunks, bad, fits = judged(raw, bands, packer)
                 rows.append(
                     (
                         len(words),
@@ -113,7 +116,7 @@ def compression_rules(docs: DataFrame, key: str = "doc_id", text: str = "text",
                         repeats,
                         failed,
                         ratio,
-                        whole,
+                        chunks,
                         bad,
                         fits and not failed,
                     )

@@ -1,3 +1,4 @@
+import base64
 import random
 import re
 from collections import Counter
@@ -46,5 +47,16 @@ def test_bands_reject_repetition_and_noise(spark):
     assert got[2].ratio > 0.7 and got[3].ratio < 0.2
 
 
+def test_junk_is_found_wherever_it_stands(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(500)]
+    good = " ".join(rng.choice(words) for _ in range(1500))
+    junk = base64.b64encode(rng.randbytes(3000)).decode()[:3900]
+    rows = [(1, good[:4096] + junk), (2, junk + good[:4096]), (3, good[: 4096 + 3900]), (4, good[:4096])]
+    got = {r.doc_id: r for r in compression.compression_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].kept for i in (1, 2, 3, 4)] == [False, False, True, True]
+    assert [got[i].n_chunks for i in (1, 2, 3, 4)] == [2, 2, 2, 1]
+
+
 def test_empty_table(nothing):
     assert compression.compression_rules(nothing).count() == 0
