@@ -37,19 +37,19 @@ WINDOW, SHARE = 5, 0.8
 BROADCAST_ROWS = 1 << 20
 
 
-def _steps(text: Column) -> tuple[Column, Column, Column, Column]:
+def _steps(text: Column, name: str = NAME_WORD) -> tuple[Column, Column, Column, Column]:
     """The text with names marked, with them replaced, and with numbers, then units too replaced."""
     clean = F.translate(F.coalesce(text, F.lit("")), MARKS + NAME_END, "")
-    words = F.regexp_replace(clean, NAME_WORD, f"{NAME_MARK}$0{NAME_END}")
+    words = F.regexp_replace(clean, name, f"{NAME_MARK}$0{NAME_END}")
     marked = F.replace(words, F.lit(f"{NAME_END} {NAME_MARK}"), F.lit(" "))  # names in a row are one
     named = F.lower(F.regexp_replace(marked, f"{NAME_MARK}[^{NAME_END}]*{NAME_END}", NAME_MARK))
     numbered = F.regexp_replace(named, NUMBER, f" {NUMBER_MARK} ")
     return marked, named, numbered, F.regexp_replace(numbered, UNIT, f"$1{UNIT_MARK}$3")
 
 
-def template(text: Column) -> Column:
+def template(text: Column, name: str = NAME_WORD) -> Column:
     """The words of a text's template; NULL and wordless texts have none."""
-    return F.array_remove(F.split(_steps(text)[3], BREAK), "")
+    return F.array_remove(F.split(_steps(text, name)[3], BREAK), "")
 
 
 def _hashes(words: str) -> Column:
@@ -61,9 +61,9 @@ def _hashes(words: str) -> Column:
     )
 
 
-def _slots(texts: DataFrame, key: str) -> DataFrame:
+def _slots(texts: DataFrame, key: str, name: str) -> DataFrame:
     """(key, p, kind, value): the value that each placeholder of a template stands for."""
-    marked, named, numbered, done = _steps(F.col("text"))
+    marked, named, numbered, done = _steps(F.col("text"), name)
     at = texts.select(key, F.posexplode(F.array_remove(F.split(done, BREAK), "")).alias("p", "kind"))
     at = at.filter(F.col("kind").isin(*MARKS))
     at = at.withColumn("k", F.row_number().over(Window.partitionBy(key, "kind").orderBy("p")) - 1)
@@ -88,18 +88,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str
 
     Items of equal text count once, as the least id; items without a word or an id are left out.
     Rows of one document id count as one document; rows without an id are never flagged here.
-    A passage may stand several times in a document; the slots are taken from the alignment with
-    most windows, the first of several.
+    A passage may stand several times in a document. The slots are checked at each place that holds
+    enough windows of its own, and at the one with most of them; it is enough that one fits, and of
+    those that fit the one with most windows, the first of several, tells what changed.
     """
+    return _leaks(docs, benchmark, key, item, share, NAME_WORD)
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, key: str, item: str, share: float, name: str) -> DataFrame:
+    """``leaks`` in one reading of names."""
     items = (
         benchmark.select(benchmark[item].alias("item"), benchmark["text"].alias("text"))
         .filter("item IS NOT NULL AND text IS NOT NULL").groupBy("text").agg(F.min("item").alias("item"))
     )
-    worded = items.withColumn("w", template(F.col("text")))
+    worded = items.withColumn("w", template(F.col("text"), name))
     wanted = durable(worded.select("item", F.posexplode(_hashes("w")).alias("ipos", "h")))
     sizes = wanted.groupBy("item").agg(F.count("*").alias("n"))
     own = docs.select(docs[key].alias("doc"), docs["text"].alias("text")).filter("doc IS NOT NULL")
-    seen = own.select("doc", template(F.col("text")).alias("w")).select("doc", F.posexplode(_hashes("w")).alias("pos", "h"))
+    seen = own.select("doc", template(F.col("text"), name).alias("w")).select("doc", F.posexplode(_hashes("w")).alias("pos", "h"))
     # Only windows of the benchmark pass this join; all that follows is as large as the leaks are.
     found = durable(
         seen.join(small(wanted), "h").select("doc", "item", "ipos", (F.col("pos") - F.col("ipos")).alias("shift")).distinct()
@@ -109,17 +115,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str
         .join(sizes, "item").filter(F.col("hits") >= share * F.col("n"))
         .select("doc", "item", (F.col("hits") / F.col("n")).alias("coverage"))
     )
+    places = found.groupBy("doc", "item", "shift").agg(F.count("*").alias("m"))
+    best = places.groupBy("doc", "item").agg(F.max_by("shift", F.struct("m", -F.col("shift"))).alias("best"))
     aligned = (
-        found.groupBy("doc", "item", "shift").agg(F.count("*").alias("m"))
-        .groupBy("doc", "item").agg(F.max_by("shift", F.struct("m", -F.col("shift"))).alias("shift"))
+        places.join(sizes, "item").join(best, ["doc", "item"])
+        .filter((F.col("m") >= share * F.col("n")) | (F.col("shift") == F.col("best"))).select("doc", "item", "shift", "m")
     )
     candidates = durable(enough.join(aligned, ["doc", "item"]))
     ids = candidates.select("doc").distinct()
-    theirs = _slots(own.join(small(ids), "doc").groupBy("doc").agg(F.min("text").alias("text")), "doc")
-    ours = _slots(items, "item").select("item", F.col("p").alias("q"), "kind", F.col("value").alias("ivalue"))
+    theirs = _slots(own.join(small(ids), "doc").groupBy("doc").agg(F.min("text").alias("text")), "doc", name)
+    ours = _slots(items, "item", name).select("item", F.col("p").alias("q"), "kind", F.col("value").alias("ivalue"))
     bound = (
         candidates.join(ours, "item").withColumn("p", F.col("q") + F.col("shift"))
-        .join(theirs, ["doc", "p", "kind"]).groupBy("doc", "item").agg(
+        .join(theirs, ["doc", "p", "kind"]).groupBy("doc", "item", "shift").agg(
             F.count("*").alias("slots"),
             F.sum((F.col("ivalue") == F.col("value")).cast("int")).alias("same"),
             F.countDistinct("kind", "ivalue").alias("left"),
@@ -129,11 +137,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str
     )
     fits = (F.col("left") == F.col("both")) & (F.col("right") == F.col("both")) | (F.col("same") >= share * F.col("slots"))
     return (
-        candidates.join(bound, ["doc", "item"], "left").filter(F.col("slots").isNull() | fits)
-        .select(
-            F.col("doc").alias(key), F.col("item").alias(item), "coverage",
-            F.coalesce(F.col("same") < F.col("slots"), F.lit(False)).alias("changed"),
+        candidates.join(bound, ["doc", "item", "shift"], "left").filter(F.col("slots").isNull() | fits)
+        .groupBy("doc", "item").agg(
+            F.max("coverage").alias("coverage"),
+            F.max_by(F.coalesce(F.col("same") < F.col("slots"), F.lit(False)), F.struct("m", -F.col("shift"))).alias("changed"),
         )
+        .select(F.col("doc").alias(key), F.col("item").alias(item), "coverage", "changed")
     )
 
 

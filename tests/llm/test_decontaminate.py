@@ -49,6 +49,13 @@ def test_cases(spark, benchmark):
             assert r.contaminated == bool(r["items"]) and (r.coverage >= 0.8) == r.contaminated
 
 
+def test_each_place_of_a_template_is_judged(spark, benchmark):
+    broken = CASES[12][0]
+    rows = [(1, broken + " So " + ITEM), (2, broken + " So " + CASES[11][0]), (3, broken + " So " + broken)]
+    got = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()
+    assert {r.doc_id: (r["items"], r.changed) for r in got} == {1: ([1], False), 2: ([1], True), 3: ([], False)}
+
+
 def test_templates(spark):
     text = "In May John Smith paid 3,500 dollars and 20 percent, 1 2 3 go"
     frame = spark.createDataFrame([(text,)], "text string").select(decontaminate.template(decontaminate.F.col("text")).alias("w"))
