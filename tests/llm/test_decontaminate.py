@@ -49,6 +49,23 @@ def test_cases(spark, benchmark):
             assert r.contaminated == bool(r["items"]) and (r.coverage >= 0.8) == r.contaminated
 
 
+OPENING = (
+    "Natalia sold clips to 48 of her friends in April. Natalia then sold half as many clips in May. Weng earns 12 dollars "
+    "an hour for babysitting. Weng watched the child of Natalia for 50 minutes. How many clips did Natalia sell altogether?"
+)
+
+
+def test_names_that_open_sentences(spark):
+    benchmark = spark.createDataFrame([(1, OPENING), (2, "Who wrote the book Emma?")], "item_id long, text string")
+    other = OPENING.replace("Natalia", "Joan").replace("Weng", "Peter").replace("48", "31").replace("12", "17")
+    mixed = OPENING.replace("Natalia sold", "Joan sold").replace("Natalia then", "Ruth then").replace("48", "31").replace("Natalia sell", "Maria sell")
+    texts = [OPENING, other, mixed, "Tom wrote the book Anna?", "So it was. " + other + " That is all."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.decontaminate(docs, benchmark).collect()}
+    assert [got[i]["items"] for i in range(5)] == [[1], [1], [], [], [1]]
+    assert [got[i].changed for i in range(5)] == [False, True, False, False, True]
+
+
 def test_each_place_of_a_template_is_judged(spark, benchmark):
     broken = CASES[12][0]
     rows = [(1, broken + " So " + ITEM), (2, broken + " So " + CASES[11][0]), (3, broken + " So " + broken)]
