@@ -4,11 +4,10 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[k]) for k in (1, 0)]
 
 from galeframe.session import build_session  # noqa: E402
-
-T0 = dt.datetime(2024, 1, 1)
+from series_times import T0  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -37,7 +36,3 @@ def series(spark):
         return spark.createDataFrame(rows, f"site int, date timestamp_ntz, {value} double")
 
     return build
-
-
-def hour_of(t):
-    return int((t - T0).total_seconds() // 3600)

@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from conftest import hour_of
+from series_times import hour_of
 from galeframe.operators import explore, metrics, scoring, splits
 
 

@@ -7,7 +7,7 @@ import sys
 from pathlib import Path
 
 import pytest
-from conftest import T0
+from series_times import T0
 
 from galeframe import session
 from galeframe.operators import explore, features, joins, models, outliers
