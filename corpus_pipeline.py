@@ -32,12 +32,12 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of similar documents (five-word shingles, 0.8) the one of smallest id.
+    """Keeps of each group of SimHash near-duplicates (three-word shingles, two bits) the one of smallest id.
 
     Rows of one id with the same text count as one document; of them the first stays. An id with
     several texts goes if each of them has a smaller id in its group.
     """
-    found = simhash.similar_documents(docs)
+    found = simhash.near_duplicates(docs).filter("doc_id IS NOT NULL")
     copies = found.groupBy("doc_id").agg(F.bool_and(F.col("component") != F.col("doc_id")).alias("copy"))
     kept = _without(docs, copies.filter("copy").select("doc_id"))
     again = durable(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1"))

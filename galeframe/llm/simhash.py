@@ -15,9 +15,8 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from galeframe.llm.common import column, pieces
 from galeframe.llm.components import components
@@ -43,23 +42,11 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
     return np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[k - 1 :].tolist())], np.uint64)
 
 
-def _spread(h: np.ndarray, words: int) -> np.ndarray:
-    """``words`` hashes of 64 bits from each; the first is the hash itself."""
-    z = h[:, None] + np.array([0x9E3779B97F4A7C15 * k % (1 << 64) for k in range(words)], np.uint64)
-    if words > 1:
-        own = z[:, 1:]
-        own = (own ^ (own >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        own = (own ^ (own >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z[:, 1:] = own ^ (own >> np.uint64(31))
-    return z
-
-
-def majority(h: np.ndarray, bits: int = 64) -> bytes:
-    """The bits set in over half of the hashes, bit 0 first; all zeros for none."""
-    counts = np.zeros(bits, np.int64)
+def majority(h: np.ndarray) -> bytes:
+    """The 64 bits set in over half of the hashes, bit 0 first; all zeros for none."""
+    counts = np.zeros(64, np.int64)
     for at in range(0, len(h), 255):  # 255 rows fit the sums of single bytes
-        part = _spread(h[at : at + 255], bits // 64)
-        flat = np.unpackbits(part.view(np.uint8), axis=1, bitorder="little")
+        flat = np.unpackbits(h[at : at + 255, None].view(np.uint8), axis=1, bitorder="little")
         counts += flat.sum(axis=0, dtype=np.uint8)
     return np.packbits(2 * counts > len(h), bitorder="little").tobytes()
 
@@ -220,165 +207,3 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
     )
     return own.join(classes, "fp").select(key, "fp", "component")
-
-
-# A similarity in place of a number of bits.
-
-#: A shingle that this many documents of a task's stretch hold is counted as a frequent one.
-FREQUENT = 4
-#: Hashes in such a stretch, and frequent shingles that are ranked, those of most documents.
-STRETCH, RANKED = 1 << 22, 1 << 17
-#: Documents of a bucket that each is compared with in the first round, besides the least one.
-PART = 2
-
-
-def shingle_set(text: str, width: int) -> np.ndarray:
-    """The distinct shingle hashes of a text, ascending."""
-    return np.unique(shingle_hashes(text, width))
-
-
-def _node(shingles: np.ndarray) -> int:
-    """A signed 64-bit identifier of a set; texts of equal sets are one."""
-    return int(np.array([xxhash.xxh64_intdigest(shingles.tobytes(), SEED)], np.uint64).view(np.int64)[0])
-
-
-def _frequent(picked: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that stand out as frequent, ascending, and the documents they were counted in."""
-
-    def counted(held):
-        values, n = np.unique(np.concatenate(held), return_counts=True)
-        own = n >= FREQUENT
-        return pa.RecordBatch.from_arrays([pa.array(values[own].view(np.int64)), pa.array(n[own])], ["h", "n"])
-
-    def run(batches):
-        held, size = [], 0
-        for batch in pieces(batches):
-            for t in column(batch, "text").to_pylist():
-                held.append(shingle_set(t or "", width))
-                size += len(held[-1])
-                if size >= STRETCH:
-                    yield counted(held)
-                    held, size = [], 0
-        if held:
-            yield counted(held)
-
-    sums = picked.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    got = sums.orderBy(F.desc("n"), "h").limit(RANKED).toArrow()
-    h = got.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    return h[order], got.column("n").to_numpy()[order]
-
-
-def prefix_length(size: int, similarity: float) -> int:
-    """The first shingles of a set of which one is shared with every set that is similar to it."""
-    return size - int(np.ceil(similarity * size - 1e-9)) + 1 if size else 0
-
-
-def _may_be_similar(a: str, b: str, similarity: float) -> Column:
-    """Whether two sets can reach the similarity if the shingle of these places is the first they share."""
-    size, left = (lambda x: F.col(f"{x}.size")), (lambda x: F.col(f"{x}.size") - F.col(f"{x}.pos"))
-    least, most = F.least(size(a), size(b)), F.greatest(size(a), size(b))
-    needed = similarity / (1 + similarity) * (size(a) + size(b)) - 1e-6
-    return (least >= similarity * most - 1e-6) & (F.least(left(a), left(b)) >= needed)
-
-
-def similar_documents(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8
-) -> DataFrame:
-    """(``key``, ``component``) as ``near_duplicates``, for texts of a Jaccard similarity of word shingles.
-
-    Such texts differ in a seventh of the bits of a fingerprint, for which no pigeonhole bound can be
-    kept. So the principle is applied to the sets of shingles: in one order of all shingles, frequent
-    ones last, similar sets share one of their first ``prefix_length``. Sets that share one are a
-    bucket. Of each pair the first shared one bounds what can still be shared by the places, and
-    what passes is decided by the shingles themselves: every pair at ``similarity`` or more, none below.
-    A first round compares each member of a bucket with the least and the PART next ones; a second one
-    all that are not yet of one component, so a crowd of copies costs in proportion to its size.
-    Rows without a key take no part.
-    """
-    kind = dict(docs.dtypes)[key]
-    picked = docs.select(docs[key].alias("key"), docs[text].alias("text")).filter("key IS NOT NULL")
-    frequent, counts = _frequent(picked, shingle)
-
-    def run(batches):
-        for batch in pieces(batches):
-            nodes, sizes, firsts = [], [], []
-            for t in column(batch, "text").to_pylist():
-                own = shingle_set(t or "", shingle)
-                rank = np.zeros(len(own), np.int64)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-                    rank = np.where(frequent[at] == own, counts[at], 0)
-                order = np.argsort(rank, kind="stable")[: prefix_length(len(own), similarity)]
-                nodes.append(_node(own))
-                sizes.append(len(own))
-                firsts.append(own[order].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "key"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))],
-                [key, "node", "size", "firsts"],
-            )
-
-    made = durable(picked.mapInArrow(run, f"`{key}` {kind}, node long, size int, firsts array<long>"))
-    own = made.select(key, "node")
-    bucket = Window.partitionBy("token")
-    placed = made.select("node", "size", F.posexplode("firsts").alias("pos", "token"))
-    placed = placed.withColumn("least", F.min("node").over(bucket)).withColumn("most", F.max("node").over(bucket))
-    shared = durable(placed.filter("least < most").select("token", F.struct("node", "size", "pos").alias("x")).distinct())
-
-    inner = bucket.orderBy("x.node")
-    near = shared.select(
-        "x", F.array_append(F.collect_list("x").over(inner.rowsBetween(1, PART)), F.first("x").over(inner)).alias("others")
-    ).select("x", F.explode("others").alias("y"))
-    near = near.filter(F.col("x.node") != F.col("y.node")).filter(_may_be_similar("x", "y", similarity))
-    first = durable(near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
-    links = _verified(picked, own, first, shingle, similarity)
-
-    joined = components(links, "a", "b")
-    rooted = shared.join(joined, F.col("x.node") == F.col("node"), "left")
-    rooted = rooted.select("token", "x", F.coalesce("root", "x.node").alias("root"))
-    several = rooted.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-    rest = durable(rooted.join(several.filter("least < most").select("token"), "token", "left_semi"))
-    left, right = rest.select("token", "x", "root"), rest.select("token", F.col("x").alias("y"), F.col("root").alias("other"))
-    apart = left.join(right, "token").filter("root < other").filter(_may_be_similar("x", "y", similarity))
-    apart = apart.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    second = durable(apart.join(first, ["a", "b"], "left_anti"))
-    if second.limit(1).count():
-        links = links.unionByName(_verified(picked, own, second, shingle, similarity))
-        joined = components(links, "a", "b")
-
-    prints = own.groupBy("node").agg(F.min(key).alias("least"))
-    rooted = prints.join(joined, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    rooted = durable(rooted)
-    classes = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
-    return own.join(classes, "node").select(key, "component")
-
-
-def _verified(picked: DataFrame, own: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of sets whose similarity, from all shingles of both, is reached."""
-    wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    key = own.columns[0]
-    holders = own.join(wanted, "node").groupBy("node").agg(F.min(key).alias("key"))
-
-    def sets(batches):
-        for batch in pieces(batches):
-            found = [shingle_set(t or "", width) for t in column(batch, "text").to_pylist()]
-            nodes = pa.array([_node(s) for s in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([nodes, pa.array([s.tobytes() for s in found], pa.binary())], ["node", "s"])
-
-    texts = picked.join(holders.select("key").distinct(), "key", "left_semi")
-    held = texts.mapInArrow(sets, "node long, s binary").join(wanted, "node", "left_semi")
-    held = durable(held.groupBy("node").agg(F.min("s").alias("s")))
-
-    def judged(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(column(batch, "x"), column(batch, "y")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([column(batch, c).filter(mask) for c in "ab"], ["a", "b"])
-
-    left = held.select(F.col("node").alias("a"), F.col("s").alias("x"))
-    right = held.select(F.col("node").alias("b"), F.col("s").alias("y"))
-    return durable(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(judged, "a long, b long"))

@@ -74,89 +74,5 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {**dict.fromkeys(range(51), 0), **dict.fromkeys(range(1000, 1060), 1000)}
 
 
-def jaccard(a, b, k=5):
-    def shingles(t):
-        w = (t or "").lower().split()
-        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or {tuple(w)}
-
-    x, y = shingles(a), shingles(b)
-    return len(x & y) / len(x | y)
-
-
-def test_similar_documents(docs, corpus, spark):
-    got = {r.doc_id: r.component for r in simhash.similar_documents(docs).collect()}
-    texts = {i: t for i, t in corpus if i is not None and i != 7}
-    for i, c in got.items():
-        if i == 7:
-            continue
-        if texts[i] and c != i and c in texts:
-            assert jaccard(texts[i], texts[c]) > 0.5
-    for i in range(12):
-        assert got[100 + i] == got[i % 5]
-    for i in range(8):
-        assert got[200 + i] == got[i]
-
-
-def test_a_crowd_of_near_copies_is_one_class(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "PART", 40)
-    base = [f"w{i % 90}q{i}" for i in range(300)]
-    rows = [(i, " ".join(w if k != i else "changed" for k, w in enumerate(base))) for i in range(200)]
-    rows += [(1000 + i, " ".join(f"o{i}p{k}" for k in range(200))) for i in range(20)]
-    got = {r.doc_id: r.component for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {got[i] for i in range(200)} == {0}
-    assert all(got[1000 + i] == 1000 + i for i in range(20))
-
-
-def edited(rng, words, at, count):
-    return words[:at] + [f"e{int(rng.integers(0, 2**40))}" for _ in range(count)] + words[at + count :]
-
-
-def similar_classes(rows):
-    """Least id reachable over pairs of a similarity of 0.8 or more."""
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
-    label, changed = list(range(len(rows))), True
-    pairs = [(i, j) for j in range(len(rows)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
-    while changed:
-        changed = False
-        for i, j in pairs:
-            least = min(label[i], label[j])
-            changed |= label[i] != least or label[j] != least
-            label[i] = label[j] = least
-    return {i: rows[c][0] for (i, _), c in zip(rows, label)}
-
-
-def test_similar_pairs_in_a_family_of_one_template(spark):
-    """Most of the family is not similar to each other, some pairs in it are; each of these is found."""
-    rng = np.random.default_rng(11)
-    template = [f"t{i}" for i in range(160)]
-    own = [template + [f"o{k}x{i}" for i in range(40)] for k in range(300)]
-    rows = [(k, " ".join(w)) for k, w in enumerate(own)]
-    rows += [(1000 + k, " ".join(edited(rng, own[k], 165, 10))) for k in range(0, 300, 3)]
-    got = {r.doc_id: r.component for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == similar_classes(rows)
-    assert sum(got[1000 + k] == k for k in range(0, 300, 3)) == 100 and len(set(got.values())) == 300
-
-
-def test_every_pair_at_the_limit_is_found(spark):
-    """Each pair at 0.80 to 0.86 counts, whatever the number of documents; none at 0.74 to 0.80 does."""
-    rng = np.random.default_rng(12)
-    rows = []
-    for k in range(300):
-        words = [f"w{k}q{i}" for i in range(200)]
-        rows += [(k, " ".join(words)), (1000 + k, " ".join(edited(rng, words, int(rng.integers(5, 150)), 11 + k % 14)))]
-    want = similar_classes(rows)
-    assert 100 < sum(want[1000 + k] == k for k in range(300)) < 200
-    got = {r.doc_id: r.component for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == want
-
-
-def test_repeated_lines_do_not_make_texts_similar(spark):
-    line = "the same line of seven plain words "
-    rows = [(k, line * 60 + " ".join(f"own{k}x{i}" for i in range(40))) for k in range(4)]
-    got = {r.doc_id: r.component for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {k: k for k in range(4)}
-
-
 def test_empty_table(nothing):
     assert simhash.near_duplicates(nothing).count() == 0
-    assert simhash.similar_documents(nothing).count() == 0
