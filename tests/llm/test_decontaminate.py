@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 
 from galeframe.llm import decontaminate
@@ -73,6 +74,30 @@ def test_each_place_of_a_template_is_judged(spark, benchmark):
     assert {r.doc_id: (r["items"], r.changed) for r in got} == {1: ([1], False), 2: ([1], True), 3: ([], False)}
 
 
+def test_each_text_of_an_id_is_judged(spark, benchmark):
+    rows = [(1, CASES[12][0]), (1, "Aaa"), (2, CASES[11][0]), (2, "Aaa"), (2, CASES[11][0]), (3, ITEM), (3, CASES[11][0])]
+    half = len(ITEM.split()) // 2
+    rows += [(4, " ".join(ITEM.split()[:half])), (4, " ".join(ITEM.split()[half:]))]
+    got = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), benchmark)
+    assert got.count() == len(rows)
+    assert {r.doc_id: (r["items"], r.changed) for r in got.collect()} == {1: ([], False), 2: ([1], True), 3: ([1], True), 4: ([], False)}
+
+
+def test_oracle_on_openings_places_and_repeated_ids(spark, tmp_path):
+    joan = OPENING.replace("Natalia", "Joan").replace("Weng", "Peter").replace("48", "31")
+    broken = CASES[12][0]
+    texts = [OPENING, joan, broken + " So " + ITEM, broken + " So " + CASES[11][0], broken, "Anna Bob, Carl. Dan Eve went.", None, "", " Zoe  Yan", joan]
+    rows = list(enumerate(texts)) + [(2, "Aaa"), (4, joan), (None, ITEM), (1, joan), (5, "(Kim)Lee-Max. The Ann Bob paid 5 Euro.")]
+    spark.createDataFrame(rows, "doc_id long, text string").createOrReplaceTempView("documents")
+    items = spark.createDataFrame([(1, OPENING), (2, ITEM), (3, "So Dan Eve went."), (4, "Kim, Lee, Max. The Jim paid 3 Euro")], "item_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", spark.table("documents").toPandas().astype({"doc_id": "Int64"}))
+    con.register("benchmark", items.toPandas())
+    want = con.sql(decontaminate.oracle_sql()).to_arrow_table().to_pylist()
+    got = [r.asDict() for r in decontaminate.decontaminate(spark.table("documents"), items).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and sum(r["contaminated"] for r in got) > 8
+
+
 def test_templates(spark):
     text = "In May John Smith paid 3,500 dollars and 20 percent, 1 2 3 go"
     frame = spark.createDataFrame([(text,)], "text string").select(decontaminate.template(decontaminate.F.col("text")).alias("w"))
