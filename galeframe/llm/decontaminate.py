@@ -96,12 +96,13 @@ def _windows(texts: DataFrame, keys: list[str], position: str) -> DataFrame:
     A template shorter than a window is a window of its own, an empty one has none.
     """
     worded = texts.select(*keys, _words(_steps(F.col("text"))[3]).alias("w"))
-    hashed = lambda r: F.transform(_read(F.col("w"), r), lambda x: F.xxhash64(x))
-    readings = F.array(*[F.struct(F.lit(r).alias("reading"), hashed(r).alias("hs")) for r in (PLAIN, NAMED)])
-    both = worded.select(*keys, F.explode(readings).alias("x")).select(*keys, "x.reading", "x.hs").filter(F.size("hs") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.size("hs") - (WINDOW - 1), F.lit(1)))
-    windows = F.transform(starts, lambda i: F.xxhash64(F.slice("hs", i, WINDOW)))
-    return both.select(*keys, "reading", F.posexplode(windows).alias(position, "h"))
+    readings = F.array(*[F.struct(F.lit(r).alias("reading"), _read(F.col("w"), r).alias("v")) for r in (PLAIN, NAMED)])
+    both = worded.select(*keys, F.explode(readings).alias("x")).select(*keys, "x.reading", "x.v")
+    # Shifted copies of the words side by side: the hash stays within generated code.
+    shifted = F.arrays_zip("v", *[F.slice("v", k + 1, (1 << 31) - 1).alias(f"v{k}") for k in range(1, WINDOW)])
+    words = both.select(*keys, "reading", F.posexplode(shifted).alias(position, "z"))
+    whole = words.filter((F.col(position) == 0) | F.col("z")[f"v{WINDOW - 1}"].isNotNull())
+    return whole.select(*keys, "reading", position, F.xxhash64("z.v", *[F.col("z")[f"v{k}"] for k in range(1, WINDOW)]).alias("h"))
 
 
 def _slots(texts: DataFrame, keys: list[str]) -> DataFrame:
