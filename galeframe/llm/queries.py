@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.llm import bpe, compression, decontaminate, language, ppm, quality, sharding, simhash, suffixes, toxicity
+from galeframe.llm import (
+    bpe, compression, conversations, decontaminate, extraction, interaction, language, ppm, quality, sharding, simhash, suffixes, toxicity,
+)
 from galeframe.llm.common import fold, size_of, table
 
 SHARDS = 8
@@ -89,6 +91,37 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    found = extraction.extract(pages, extraction.fit(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    repaired = conversations.repair(conversations.damage(turns), turns)
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return conversations.digests(repaired).select(
+        F.col("id").alias("conv_id"), *[F.col("counts")[k].alias(c) for k, c in enumerate(counts)],
+        "audit", F.col("sha").alias("repaired_sha256"),
+    )
+
+
+def op13_interaction(spark: SparkSession, folder: str) -> DataFrame:
+    return interaction.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def _crc_sql() -> str:
+    """Common tables that end in ``crc(t)``, the table of CRC-32 from its polynomial."""
+    step = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+    return f"""steps(b, k, c) AS (
+  SELECT range, 0, range::BIGINT FROM range(256)
+  UNION ALL SELECT b, k + 1, {step} FROM steps WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY b) AS t FROM steps WHERE k = 8
+)"""
+
+
 def _op5_sql() -> str:
     """Rendezvous scores, slots and CRC-32 (its table from the polynomial) in DuckDB."""
     score = "-1.0 / ln((('0x' || substr(md5(k || ':{0}'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)"
@@ -98,14 +131,8 @@ def _op5_sql() -> str:
         top = f"greatest({', '.join(f's{s}' for s in range(n))})"
         return "CASE " + " ".join(f"WHEN s{s} = {top} THEN {s}" for s in reversed(range(n))) + " END"
 
-    step = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
     return f"""
-WITH RECURSIVE steps(b, k, c) AS (
-  SELECT range, 0, range::BIGINT FROM range(256)
-  UNION ALL SELECT b, k + 1, {step} FROM steps WHERE k < 8
-), crc AS (
-  SELECT list(c ORDER BY b) AS t FROM steps WHERE k = 8
-), keyed AS (
+WITH RECURSIVE {_crc_sql()}, keyed AS (
   SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, coalesce(text, '') AS x FROM documents
 ), hexed AS (
   SELECT doc_id, k, octet_length(encode(x)) + 1 AS size, hex(encode(x)) AS h FROM keyed
@@ -135,6 +162,14 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
+    "op11_extraction": op11_extraction,
+    "op12_conversations": op12_conversations,
+    "op13_interaction": op13_interaction,
 }
 
-ORACLE_SQL = {"op5_sharding": _op5_sql(), "op9_decontamination": decontaminate.oracle_sql()}
+ORACLE_SQL = {
+    "op5_sharding": _op5_sql(),
+    "op9_decontamination": decontaminate.oracle_sql(),
+    "op12_conversations": conversations.oracle_sql(_crc_sql()),
+    "op13_interaction": interaction.oracle_sql(),
+}
