@@ -414,16 +414,16 @@ WITH RECURSIVE {crc}, told AS (
 ), audited AS (
   SELECT * EXCLUDE (turns, x, best), substr(best, 1, 8)::BIGINT AS cost, substr(best, 10) AS audit FROM solved
 ), edits AS (
-  SELECT conv_id, unnest(range(1, len(audit) + 1)) AS at, audit, roles, texts FROM audited
+  SELECT conv_id, unnest(range(1, len(audit) + 1)) AS e, audit, roles, texts FROM audited
 ), lettered AS (
-  SELECT conv_id, at, substr(audit, at, 1) AS edit, at - len(replace(substr(audit, 1, at), 'I', '')) AS inserted, roles, texts FROM edits
+  SELECT conv_id, e, substr(audit, e, 1) AS edit, len(replace(substr(audit, 1, e), 'I', '')) AS place, roles, texts FROM edits
 ), kept AS (
-  SELECT conv_id, at, edit, CASE WHEN edit <> 'I' THEN roles[at - inserted] END AS role,
-    CASE WHEN edit = 'I' THEN '' ELSE texts[at - inserted] END AS text FROM lettered WHERE edit <> 'D'
+  SELECT conv_id, e, edit, CASE WHEN edit <> 'I' THEN roles[place] END AS role,
+    CASE WHEN edit = 'I' THEN '' ELSE texts[place] END AS text FROM lettered WHERE edit <> 'D'
 ), ranked AS (
-  SELECT *, row_number() OVER w - (first_value(edit = 'K' AND role LIKE 's%') OVER w)::INT AS k FROM kept WINDOW w AS (PARTITION BY conv_id ORDER BY at)
+  SELECT *, row_number() OVER w - (first_value(edit = 'K' AND role LIKE 's%') OVER w)::INT AS k FROM kept WINDOW w AS (PARTITION BY conv_id ORDER BY e)
 ), repaired AS (
-  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN k % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY at) AS lines
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN k % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY e) AS lines
   FROM ranked GROUP BY conv_id
 ), ids AS (SELECT DISTINCT conv_id FROM conversations)
 SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,

@@ -57,7 +57,7 @@ class Settings:
     """Pages that are learned from, layouts made of each; number, depth and step of the trees."""
 
     pages: int = 400
-    layouts: int = 2
+    layouts: int = 3
     trees: int = 60
     depth: int = 5
     step: float = 0.25
@@ -313,16 +313,20 @@ def _laid_out(blocks, spare: list[str], rng: random.Random) -> str:
         tag = PART_TAGS[kind] if rng.random() < 0.5 else rng.choice(["div", "section"])
         return wrap(tag, PART_NAMES[kind], inner(kind))
 
-    main = []
+    main, short = [], rng.random() < 0.25
     for tag, text, _ in blocks:
+        text = " ".join(text.split()[: rng.randint(1, 4)]) if short else text
         tag = tag if tag in ("h1", "h2", "h3", "p", "li", "blockquote", "pre") else rng.choice(["p", "div"])
-        main.append(f"<{tag}{MARK}>{html.escape(text)}</{tag}>")
+        if tag == "li" or rng.random() < 0.08:
+            main.append(f"<ul><li{MARK}>{html.escape(text)}</li></ul>")
+        else:
+            main.append(f"<{tag}{MARK}>{html.escape(text)}</{tag}>")
         if rng.random() < 0.03:
             main.append(part(rng.choice(["advert", "share", "notice", "sidebar"])))
     tail = [part(kind) for kind, share in (("share", 0.2), ("comments", 0.35), ("form", 0.15), ("advert", 0.15)) if rng.random() < share]
     within = rng.random() < 0.4
     content = "".join(main + (tail if within else []))
-    content = wrap(rng.choice(["article", "main", "div", "section", "div"]), CONTENT_NAMES, content)
+    content = wrap(rng.choice(["article", "article", "main", "div", "section", "div"]), CONTENT_NAMES, content)
     before = [part(k) for k, share in (("notice", 0.3), ("header", 0.6), ("menu", 0.8), ("advert", 0.4), ("form", 0.1)) if rng.random() < share]
     beside = [part("sidebar") for _ in range(rng.choice([0, 0, 1, 2]))]
     after = ([] if within else tail) + [part(k) for k, share in (("menu", 0.1), ("notice", 0.15), ("footer", 0.85)) if rng.random() < share]
