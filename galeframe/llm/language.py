@@ -9,7 +9,6 @@ beyond the first.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,19 +18,15 @@ from pyspark.sql import functions as F
 
 from galeframe.llm.common import column, pieces
 
-LETTER = re.compile(r"[^\W\d_]")
-
-
 @dataclass(frozen=True)
 class Settings:
-    """``gram`` bytes a gram; tables of ``width`` cells, fewer if ``cells`` over all languages were passed."""
+    """``gram`` bytes a gram; tables of ``width`` cells, together at most ``cells``; the rest cuts and solves."""
 
     gram: int = 4
     width: int = 1 << 15
     cells: int = 1 << 22
     segment: int = 48
     rounds: int = 12
-    sets: int = 3
     batch: int = 1 << 20
 
 
@@ -65,15 +60,17 @@ def prepared(text: str) -> bytes:
 def fit(docs: DataFrame, train: Column, lang: str = "lang", settings: Settings = Settings()) -> Model:
     """Learns from the text and non-NULL ``lang`` of all documents for which ``train`` holds.
 
-    The number of languages is that of the distinct values; the cells of all tables together are
-    at most ``settings.cells``, so what goes to the driver and back has a fixed bound.
+    The number of languages is that of the distinct values. What goes to the driver and back has a
+    fixed bound: if the tables of all languages came to more than ``settings.cells``, it is an error.
     """
     known = docs.filter(F.col(lang).isNotNull() & train).select(F.col(lang).alias("lang"), F.col("text").alias("text"))
-    languages = [r["lang"] for r in known.select("lang").distinct().orderBy("lang").limit(settings.cells).collect()]
+    width, gram = settings.width, settings.gram
+    most = settings.cells // width
+    languages = sorted(r["lang"] for r in known.select("lang").distinct().limit(most + 1).collect())
+    if len(languages) > most:
+        raise ValueError(f"more than {most} languages: tables of fewer cells, or more cells in all, are needed")
     if not languages:
         return Model([], np.zeros((0, settings.width)), settings.gram, settings.width)
-    width = max(16, min(settings.width, settings.cells // len(languages)))
-    gram = settings.gram
 
     def counted(batches):
         sums: dict[str, np.ndarray] = {}
@@ -147,15 +144,19 @@ def mixtures(fits: np.ndarray, owner: np.ndarray, docs: int, settings: Settings)
     full, _ = solve(np.full((len(rows), width), 1 / width))
     order = np.argsort(-full, axis=1, kind="stable")
     best, best_value = None, np.full(len(rows), -np.inf)
-    for size in range(1, min(settings.sets, width) + 1):
+    open_ = np.ones(len(rows), bool)  # sets grow by the next language while that pays
+    for size in range(1, width + 1):
         allowed = np.zeros_like(full)
         np.put_along_axis(allowed, order[:, :size], 1.0, axis=1)
         start = allowed * (full + 1e-6)
         share, value = solve(start / start.sum(axis=1, keepdims=True))
         value = value - 0.5 * (size - 1) * np.log(n + 1)
-        better = value > best_value
+        better = open_ & (value > best_value)
+        open_ = better
         best = share if best is None else np.where(better[:, None], share, best)
         best_value = np.where(better, value, best_value)
+        if not open_.any():
+            break
     out[rows] = best
     return out
 
@@ -175,7 +176,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
         m = shared.value
         for batch in pieces(batches, limit=settings.batch):
             given = column(batch, "text").to_pylist()
-            known = [bool(m.languages) and t is not None and LETTER.search(t) is not None for t in given]
+            known = [bool(m.languages) and t is not None and any(map(str.isalpha, t)) for t in given]
             raws = [prepared(t) if k else b"" for t, k in zip(given, known)]
             share = mixtures(*segments(raws, m, settings.segment), len(raws), settings) if m.languages else None
             names, scores, sets, shares = [], [], [], []
@@ -184,7 +185,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
                     names.append("und"), scores.append(0.0), sets.append([]), shares.append([])
                     continue
                 own = share[i] if share[i].any() else np.full(len(m.languages), 1 / len(m.languages))
-                held = [j for j in np.argsort(-own, kind="stable") if own[j] > 0][: settings.sets]
+                held = [j for j in np.argsort(-own, kind="stable") if own[j] > 0]
                 names.append(m.languages[held[0]])
                 scores.append(float(min(1.0, own[held[0]])))
                 sets.append([m.languages[j] for j in held])

@@ -133,7 +133,7 @@ def test_mixture_shares_equal_plain_expectation_maximisation():
     rng = np.random.default_rng(8)
     fits = np.log(rng.random((30, 3)))
     owner = np.repeat([0, 2], [10, 20])
-    settings = language.Settings(rounds=400, sets=3)
+    settings = language.Settings(rounds=400)
     got = language.mixtures(fits, owner, 3, settings)
     assert not got[1].any()
     for d in (0, 2):
@@ -168,3 +168,16 @@ def test_documents_without_any_label(docs, spark):
     assert toxicity.score(docs, toxicity.fit(docs, labels, everything())).filter("score < 0.3").count() == docs.count()
     assert quality.score(docs, quality.fit(docs, labels, everything())).filter("score = 0.5").count() == docs.count()
     assert {r.lang_pred for r in language.identify(docs, language.fit(docs, F.lit(False))).collect()} == {"und"}
+
+
+def test_only_letters_have_a_language(spark):
+    docs = spark.createDataFrame([(1, "plain words here", "en"), (2, "\u00bd \u00b2", None), (3, "\u2167 \u2460 12 _", None), (4, "\u00aa", None), (5, None, "en")], "doc_id long, text string, lang string")
+    model = language.fit(docs, language.F.lit(True))
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs, model).collect()}
+    assert got == {1: "en", 2: "und", 3: "und", 4: "en", 5: "und"}
+
+
+def test_more_languages_than_cells_are_an_error(spark):
+    docs = spark.createDataFrame([(k, "text", f"l{k}") for k in range(9)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        language.fit(docs, language.F.lit(True), settings=language.Settings(width=64, cells=512))
