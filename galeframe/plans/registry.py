@@ -11,7 +11,6 @@ from galeframe.plans.oracle import with_views
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
-#: The windows come last: their results are by far the largest.
 MODULES = (
     "projections", "filters", "joining", "series", "aggregates", "cleaning", "scoring", "exploration", "modelling",
     "scanning", "workflows", "sequences",
@@ -19,6 +18,8 @@ MODULES = (
 
 PLANS: dict[str, Plan] = {}
 SQL: dict[str, str] = {}
+#: Queries of whole windows, whose results are by far the largest.
+WINDOWS: set[str] = set()
 
 
 def query(name: str, sql: str | None = None, by: str = "user") -> Callable[[Plan], Plan]:
@@ -28,6 +29,8 @@ def query(name: str, sql: str | None = None, by: str = "user") -> Callable[[Plan
         if name in PLANS:
             raise ValueError(f"query {name} is registered twice")
         PLANS[name] = plan
+        if plan.__module__.endswith(".sequences"):
+            WINDOWS.add(name)
         if sql is not None:
             SQL[name] = with_views(sql, by)
         return plan
