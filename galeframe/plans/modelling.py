@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from galeframe.functions import binary_label
+from galeframe.functions import binary_label, class_label, class_to_power, decode_class
 from galeframe.operators import joins, metrics, models, outliers, recursion, splits, trees
 from galeframe.operators.sequences import channel_swap, cut_windows
 from galeframe.plans import views
@@ -155,21 +155,78 @@ def _(spark, sf):
     return scored.select("site", "date", "start", F.round("predicted", 6).alias("predicted"))
 
 
-@query("stack_ensemble")
+#: Classes of output of the classifying base, folds of the first level, bases of the second.
+CLASSES, FOLDS = 10, 5
+BASES = ("linear", "classed", "persistence")
+
+
+def solve_sql(source: str, n: int, name: str) -> str:
+    """Common tables that eliminate the augmented system ``m0_0 .. m{n-1}_{n}`` of ``source`` to x0 .. x{n-1}."""
+    tables, last = [], source
+    for k in range(n - 1):
+        cells = [
+            f"m{i}_{j}" if i <= k else f"m{i}_{j} - m{i}_{k} * m{k}_{j} / m{k}_{k} AS m{i}_{j}"
+            for i in range(n) for j in range(min(i, k) if i <= k else k + 1, n + 1)
+        ]
+        tables.append(f"{name}{k} AS (SELECT {', '.join(cells)} FROM {last})")
+        last = f"{name}{k}"
+    for i in reversed(range(n)):
+        rest = "".join(f" - m{i}_{j} * x{j}" for j in range(i + 1, n))
+        tables.append(f"{name}x{i} AS (SELECT *, (m{i}_{n}{rest}) / m{i}_{i} AS x{i} FROM {last})")
+        last = f"{name}x{i}"
+    return ", ".join(tables) + f", {name} AS (SELECT * FROM {last})"
+
+
+def _stack_sql():
+    share = "('0x' || substr(md5(site || '|' || strftime(date, '%Y-%m-%d %H:%M:%S') || '|' || strftime(start, '%Y-%m-%d %H:%M:%S') || '|0'), 1, 8))::BIGINT / 4294967296e0"
+    labels = ["power", *[f"c{k}" for k in range(CLASSES + 1)]]
+    own = ", ".join(f"sum({c}) AS s_{c}, sum(ws * {c}) AS p_{c}" for c in labels)
+    sums = ["n", "sx", "sxx", *[f"{q}_{c}" for c in labels for q in "sp"]]
+    rest = ", ".join(f"sum({c}) OVER (PARTITION BY site) - {c} AS {c}" for c in sums)
+    every = ", ".join(f"sum({c}) AS {c}" for c in sums)
+    slope = "(n * p_{0} - sx * s_{0}) / (n * sxx - sx * sx)"
+    fits = ", ".join(f"{slope.format(c)} AS b_{c}, (s_{c} - {slope.format(c)} * sx) / n AS a_{c}" for c in labels)
+    scores = ", ".join(f"a_c{k} + b_c{k} * ws" for k in range(CLASSES + 1))
+    inputs = ["1e0", *BASES]
+    cells = ", ".join(
+        f"sum({a} * {b}){' + 1e-6' if a == b else ''} AS m{i}_{j}" for i, a in enumerate(inputs) for j, b in enumerate([*inputs, "power"])
+    )
+    return f"""WITH known AS (SELECT site, date, power FROM obs WHERE flag),
+  issue AS (SELECT i.site, i.start, k.power AS persistence FROM (SELECT DISTINCT site, start FROM runs) i
+    ASOF LEFT JOIN known k ON k.site = i.site AND k.date <= i.start),
+  told AS (SELECT site, date, start, power, ws, flag,
+      CASE WHEN flag THEN CAST(floor({FOLDS} * {share}) AS INTEGER) ELSE -1 END AS fold,
+      {', '.join(f"(round_even({CLASSES} * power, 0) = {k})::INT::DOUBLE AS c{k}" for k in range(CLASSES + 1))} FROM features),
+  own AS (SELECT site, fold, count(*)::DOUBLE AS n, sum(ws) AS sx, sum(ws * ws) AS sxx, {own}
+    FROM told WHERE flag AND ws IS NOT NULL AND power IS NOT NULL GROUP BY site, fold),
+  held AS (SELECT site, fold, {rest} FROM own UNION ALL SELECT site, -1, {every} FROM own GROUP BY site),
+  fits AS (SELECT site, fold, {fits} FROM held),
+  based AS (SELECT t.site, t.date, t.start, t.power, t.flag, i.persistence, a_power + b_power * ws AS linear,
+      (list_position([{scores}], list_max([{scores}])) - 1) / {float(CLASSES)} AS classed
+    FROM told t LEFT JOIN fits USING (site, fold) JOIN issue i ON i.site = t.site AND i.start = t.start),
+  sums AS (SELECT {cells} FROM based WHERE flag AND linear IS NOT NULL AND classed IS NOT NULL AND persistence IS NOT NULL AND power IS NOT NULL),
+  {solve_sql('sums', len(inputs), 'mix')}
+  SELECT site, date, start, power, round(x0 + x1 * linear + x2 * classed + x3 * persistence, 6) AS predicted
+  FROM based, mix WHERE NOT flag"""
+
+
+@query("stack_ensemble", _stack_sql())
 def _(spark, sf):
-    rows = views.features(spark, sf).withColumn("ws_3", F.col("ws") * F.col("ws") * F.col("ws"))
-    features = ["ws", "ws_3"]
-    fitted = models.fit_linear_by_site(rows.filter("flag"), features)
-    based = models.score_linear(rows, fitted, features, name="linear")
+    rows = views.features(spark, sf)
+    share = splits.split_share(F.col("site"), F.col("date"), F.col("start"))
+    fold = F.when(F.col("flag"), F.floor(share * FOLDS).cast("int")).otherwise(F.lit(-1))
+    rows = rows.select("site", "date", "start", "power", "ws", "flag", fold.alias("fold"))
+    names = [f"c{k}" for k in range(CLASSES + 1)]
+    label = class_label("power", CLASSES)
+    train = rows.filter("flag").select("*", F.col("power").alias("linear"), *[(label == k).cast("double").alias(c) for k, c in enumerate(names)])
+    labels = ["linear", *names]
+    based = models.score_out_of_fold(rows, models.fit_out_of_fold(train, ["ws"], labels, "fold"), ["ws"], labels, "fold")
+    classed = F.when(F.col("linear").isNotNull(), class_to_power(decode_class(F.array(*names)), CLASSES))
     issues = rows.select("site", "start").distinct()
-    persisted = joins.last_known(
-        issues, "start", views.obs_masked(spark, sf), "date", "power", name="persistence"
-    )
-    based = based.join(persisted, ["site", "start"])
-    predicted = models.stack(
-        based.filter("flag"), based.filter(~F.col("flag")), ["linear", "persistence", "ws_power"]
-    )
-    return predicted.select("site", "date", "start", "power", "predicted")
+    persisted = joins.last_known(issues, "start", views.obs_masked(spark, sf), "date", "power", name="persistence")
+    based = based.withColumn("classed", classed).drop(*names).join(persisted, ["site", "start"])
+    predicted = models.stack(based.filter("flag"), based.filter(~F.col("flag")), BASES)
+    return predicted.select("site", "date", "start", "power", F.round("predicted", 6).alias("predicted"))
 
 
 @query("window_regress")
