@@ -166,5 +166,5 @@ SELECT part, filter_order, step::INT AS step,
   coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
   coalesce(sum(good) FILTER (mask & own <> 0 AND mask & prior = 0), 0)::BIGINT AS good_lost,
   coalesce(sum(toxic) FILTER (mask & own <> 0 AND mask & prior = 0), 0)::BIGINT AS toxic_lost,
-  coalesce(sum(n * 120 // bit_count(mask)) FILTER (mask & own <> 0), 0)::BIGINT AS shapley
+  coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (mask & own <> 0), 0)::BIGINT AS shapley
 FROM seen GROUP BY part, filter_order, step"""
