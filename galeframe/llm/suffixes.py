@@ -7,6 +7,12 @@ alone holds is settled. The others are refined by what lies at later and earlier
 strings around an anchor are told apart by their own identifiers, which are made of those of their
 parts, and every string learns the least document that holds it.
 
+Refinement doubles: a bucket of 16 bytes at i and that at i + 16 make a bucket of 32 bytes, which
+sorting numbers anew; the numbers at i and at i + 18 then make the bucket of the 50 bytes. The
+second step reuses what the first one refined, also for offsets at which no string in question
+starts, and a string with a bucket of its own takes no further part. Where buckets must have the same name
+in several tasks, they are named by mixing the names of their halves in the same two steps.
+
 Documents are dealt to buckets of a few megabytes of text; one shuffle of the texts serves the
 three passes over them. Between the passes go packed identifiers: of a bucket to the part that
 owns an identifier, and what was found back to the bucket. A gram, string or context that many
@@ -30,6 +36,8 @@ from galeframe.llm.common import column, size_of
 
 LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM + 1
+#: Offset at which the second 32 bytes of a string begin; they overlap the first.
+LATE = LENGTH - 2 * GRAM
 STRIDE = 1 << 20
 
 
@@ -57,15 +65,53 @@ def _words(raw: np.ndarray) -> np.ndarray:
     return np.ndarray((len(raw) - 7,), np.uint64, raw, strides=(1,))
 
 
-def string_ids(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Identifiers of the 50-byte strings that start at each place."""
-    z = np.full(len(at), 0x243F6A8885A308D3, np.uint64)
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Names of the buckets whose halves have these names."""
+    z = (a ^ _u64(0x243F6A8885A308D3)) * _u64(0x9E3779B97F4A7C15)
+    z ^= z >> _u64(29)
+    z ^= b
+    z *= _u64(0x9E3779B97F4A7C15)
+    return _mixed(z ^ (z >> _u64(32)))
+
+
+def _doubled(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Names of the 32-byte buckets at each place, of those of 16 bytes there and 16 bytes later."""
     words = _words(raw)
-    for k in (0, 8, 16, 24, 32, 40, 42):
-        z ^= words[k:][at]
-        z *= _u64(0x9E3779B97F4A7C15)
-        z ^= z >> _u64(29)
-    return _mixed(z)
+    return _pair(_pair(words[at], words[8:][at]), _pair(words[GRAM:][at], words[GRAM + 8 :][at]))
+
+
+def string_ids(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Names of the 50-byte strings that start at each place, of those of 32 bytes there and 18 bytes later."""
+    return _pair(_doubled(raw, at), _doubled(raw, at + LATE))
+
+
+def _numbered(names: np.ndarray) -> np.ndarray:
+    """The rank of each name among the distinct ones."""
+    order = np.argsort(names)
+    ranked = names[order]
+    out = np.empty(len(names), np.uint32)
+    out[order] = np.cumsum(np.append(False, ranked[1:] != ranked[:-1])) if len(names) else 0
+    return out
+
+
+def repeated(raw: np.ndarray, at: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Whether the 50-byte string at each place is also that of a smaller document, by refinement of buckets."""
+    wanted = np.zeros(len(raw), bool)
+    wanted[at] = wanted[at + LATE] = True
+    places = np.flatnonzero(wanted)
+    bucket = np.zeros(len(raw), np.uint32)
+    bucket[places] = _numbered(_doubled(raw, places))
+    several = np.bincount(bucket[places]) > 1
+    left = np.flatnonzero(several[bucket[at]] & several[bucket[at + LATE]]) if len(at) else np.zeros(0, np.int64)
+    here = at[left]
+    _, least, where = _least((bucket[here].astype(np.uint64) << _u64(32)) | bucket[here + LATE], docs[left])
+    out = np.zeros(len(at), bool)
+    out[left] = least[where] < docs[left]
+    return out
+
+
+def _named_contexts(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return _mixed(string_ids(raw, first) ^ (string_ids(raw, last) * _u64(3)) ^ (last - first).astype(np.uint64))
 
 
 class Texts:
@@ -124,8 +170,7 @@ class Texts:
 
     def contexts(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Identifiers of the bytes from each first string to the end of its last one."""
-        a = string_ids(self.raw, lo)
-        return _mixed(a ^ (string_ids(self.raw, hi) * _u64(3)) ^ (hi - lo).astype(np.uint64))
+        return _named_contexts(self.raw, lo, hi)
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -214,8 +259,8 @@ def deduplicate(
     bytes left, or, with ``texts``, the text left, where a character cut apart is left out whole.
     The columns named in ``carry`` come along.
     NULL texts count as empty. Rows without an id neither lose nor cost bytes, and rows of one id
-    don't cost each other any. Strings are compared by 64-bit identifiers among those that share
-    a gram.
+    don't cost each other any. Strings are told apart by 64-bit names of their halves or, if a gram
+    of theirs is crowded, of the whole.
     """
     dealt, parts = _dealt(docs, key, text, list(carry), settings)
     crowd = settings.crowded
@@ -304,12 +349,10 @@ def deduplicate(
             count = size - LENGTH + 1
             head = np.cumsum(count) - count
             at = np.repeat(start - head, count) + np.arange(count.sum())
-            names = string_ids(raw, at)
-            _, least, where = _least(names, each := np.repeat(flat, count))
-            bits = (least[where] < each).astype(np.uint64) << (np.arange(len(at)) - np.repeat(head, count)).astype(np.uint64)
+            found = repeated(raw, at, np.repeat(flat, count))
+            bits = found.astype(np.uint64) << (np.arange(len(at)) - np.repeat(head, count)).astype(np.uint64)
             mask = np.bitwise_or.reduceat(bits, head)
-            last = head + count - 1
-            context = _mixed(names[head] ^ (names[last] * _u64(3)) ^ (count - 1).astype(np.uint64))
+            context = _named_contexts(raw, at[head], at[head + count - 1])
             done = 0
             for bucket, own in zip(buckets, ids):
                 i = np.flatnonzero(mask[done : done + len(own)]) + done

@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 
 from galeframe.llm import suffixes
@@ -59,5 +60,35 @@ def test_a_character_cut_apart_is_left_out(spark):
     assert got[2].n_removed == 61 and got[2].text == ""  # both letters begin with the same byte
 
 
+@pytest.mark.parametrize("same", [16, 32, 48, 49, 50])
+def test_refinement_tells_strings_apart_to_their_last_byte(same):
+    """Strings that agree in their first bytes only: each step of refinement too few would join them."""
+    texts = [b"a" * 50, b"a" * same + b"b" * (50 - same), b"b" * (50 - same) + b"a" * same, b"a" * 50]
+    raw = np.frombuffer(b"".join([*texts, bytes(128)]), np.uint8)
+    at, docs = np.arange(4) * 50, np.array([5, 6, 7, 8])
+    assert list(suffixes.repeated(raw, at, docs)) == [False, same == 50, same == 50, True]
+
+
+def test_refinement_equals_grouping_by_bytes():
+    """Texts of two letters, so that nearly all buckets are shared and the last step decides."""
+    draw = np.random.default_rng(3)
+    base = draw.integers(97, 99, 400, dtype=np.uint8)
+    texts = []
+    for _ in range(60):
+        text = base.copy()
+        text[draw.integers(0, 400, 6)] ^= 3
+        texts.append(text)
+    raw = np.concatenate([*texts, np.zeros(128, np.uint8)])
+    at = np.concatenate([d * 400 + np.arange(351) for d in range(60)])
+    docs = np.repeat(draw.permutation(60), 351)
+    least = {}
+    strings = [raw[i : i + 50].tobytes() for i in at]
+    for string, doc in zip(strings, docs):
+        least[string] = min(doc, least.get(string, doc))
+    want = [least[string] < doc for string, doc in zip(strings, docs)]
+    assert list(suffixes.repeated(raw, at, docs)) == want
+    assert len(set(suffixes.string_ids(raw, at))) == len(least)
+
+
 def test_empty_table(nothing):
     assert suffixes.deduplicate(nothing).count() == 0
