@@ -6,7 +6,7 @@ from galeframe.functions import binary_label
 from galeframe.operators import joins, metrics, scoring, splits
 from galeframe.operators.filters import trainable
 from galeframe.operators.ordered import shifted
-from galeframe.operators.sequences import cut_windows, unrolled
+from galeframe.operators.sequences import cut_windows
 from galeframe.plans import views
 from galeframe.plans.registry import query
 from galeframe.plans.sequences import base_sql, near, windows_sql
@@ -96,7 +96,7 @@ def _(spark, sf):
 
 @query(
     "rmse_window_mean",
-    f"""WITH {base_sql()}, {windows_sql(84, 12)},
+    f"""WITH {base_sql()}, {windows_sql(84, 1)},
         per_window AS (SELECT w.site, w.window_start, sqrt(avg({_D.replace('ws_power', 'c.ws_power').replace('- power', '- c.power')} * {_D.replace('ws_power', 'c.ws_power').replace('- power', '- c.power')})) AS rmse
           FROM win w JOIN base c ON c.site = w.site AND c.i BETWEEN w.i + 36 AND w.i + 83
           GROUP BY 1, 2)
@@ -104,9 +104,8 @@ def _(spark, sf):
         GROUP BY site""",
 )
 def _(spark, sf):
-    rows = unrolled(cut_windows(near(spark, sf), ["power", "ws_power"], 84, 12))
-    horizon = rows.filter(F.col("step") >= 36)
-    scored = metrics.window_rmse(horizon, "power", "ws_power", ["window_start"], ["site"])
+    cut = cut_windows(near(spark, sf), ["power", "ws_power"], 84)
+    scored = metrics.packed_window_rmse(cut, 36, 48, "power", "ws_power", ["site"])
     return scored.select("site", "windows", F.round("rmse", 9).alias("rmse"))
 
 

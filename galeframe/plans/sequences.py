@@ -56,28 +56,38 @@ def _(spark, sf):
     return op.window_starts(views.obs_sparse(spark, sf, "kind"), 1, 2, stride=2)
 
 
+def _lists_sql(**columns):
+    return ", ".join(f"list({c} ORDER BY c.i) AS {name}" for name, c in columns.items())
+
+
+def _lists(array, names):
+    """The fields of an array of structs as arrays, so that a window stays one row."""
+    return [F.col(array)[n].alias(n) for n in names]
+
+
 @query(
     "window_tensor",
-    f"""WITH {base_sql()}, {windows_sql(84, 12)}
-        SELECT w.site, w.window_start, {step('c.i - w.i')}, c.dist, c.ws, c.power
-        FROM win w JOIN base c ON c.site = w.site AND c.i BETWEEN w.i AND w.i + 83""",
+    f"""WITH {base_sql()}, {windows_sql(84, 1)}
+        SELECT w.site, w.window_start, {_lists_sql(dist='c.dist', ws='c.ws', power='c.power')}
+        FROM win w JOIN base c ON c.site = w.site AND c.i BETWEEN w.i AND w.i + 83 GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    return op.unrolled(op.cut_windows(near(spark, sf), ["dist", "ws", "power"], 84, 12))
+    cut = op.cut_windows(near(spark, sf), ["dist", "ws", "power"], 84)
+    return cut.select("site", "window_start", *_lists("steps", ["dist", "ws", "power"]))
 
 
 @query(
     "channel_swap",
-    f"""WITH {base_sql()}, {windows_sql(84, 12)}
-        SELECT w.site, w.window_start, {step('c.i - w.i')}, c.dist, c.ws,
-               CASE WHEN c.i - w.i < 36 THEN c.power ELSE c.ws_power END AS power_in,
-               CASE WHEN c.i - w.i >= 36 THEN c.power END AS y
-        FROM win w JOIN base c ON c.site = w.site AND c.i BETWEEN w.i AND w.i + 83""",
+    f"""WITH {base_sql()}, {windows_sql(84, 1)}
+        SELECT w.site, w.window_start,
+               {_lists_sql(dist='c.dist', ws='c.ws', power_in='CASE WHEN c.i - w.i < 36 THEN c.power ELSE c.ws_power END')},
+               list(c.power ORDER BY c.i) FILTER (c.i - w.i >= 36) AS y
+        FROM win w JOIN base c ON c.site = w.site AND c.i BETWEEN w.i AND w.i + 83 GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    cut = op.cut_windows(near(spark, sf), ["dist", "ws", "ws_power", "power"], 84, 12)
-    swapped = op.channel_swap(cut, ["dist", "ws"], 36, 48).drop("steps")
-    return _beside(swapped, 36)
+    cut = op.cut_windows(near(spark, sf), ["dist", "ws", "ws_power", "power"], 84)
+    swapped = op.channel_swap(cut, ["dist", "ws"], 36, 48)
+    return swapped.select("site", "window_start", *_lists("x", ["dist", "ws", "power_in"]), "y")
 
 
 def _beside(windows, first):

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from series_times import hour_of
 from galeframe.operators import explore, metrics, scoring, splits
@@ -10,6 +11,17 @@ def scored(spark, rows):
     return spark.createDataFrame(rows, "w int, y double, p double")
 
 
+def test_packed_windows_have_the_rmse_of_unrolled_ones(spark):
+    steps = [[(9.0, 0.0), (3.0, 0.0), (4.0, 0.0)], [(9.0, 0.0), (None, 1.0), (2.0, 0.0)], [(9.0, 0.0), (None, 1.0), (1.0, None)]]
+    rows = [("a", k, s) for k, s in enumerate(steps)]
+    cut = spark.createDataFrame(rows, "site string, w int, steps array<struct<y: double, p: double>>")
+    got = metrics.packed_window_rmse(cut, 1, 2, "y", "p", ["site"]).first()
+    plain = cut.select("site", "w", F.posexplode("steps").alias("k", "s")).filter("k > 0").select("site", "w", "s.*")
+    want = metrics.window_rmse(plain, "y", "p", ["w"], ["site"]).first()
+    assert got.windows == want.windows == 3
+    assert abs(got.rmse - want.rmse) < 1e-12 and abs(got.rmse - (12.5**0.5 + 2.0) / 2) < 1e-12
+
+
 def test_pooled_and_window_rmse_differ(spark):
     df = scored(spark, [(1, 0.0, 1.0), (1, 0.0, 1.0), (2, 0.0, 3.0), (2, 0.0, 3.0)])
     pooled = metrics.score(df, "y", "p").first().rmse
