@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from galeframe.functions import add_hours
 from galeframe.operators.joins import listed
-from galeframe.operators.ordered import first_rows, shifted, with_group_stats
+from galeframe.operators.ordered import CHUNK, first_rows, number_rows, spread_chunks, with_group_stats
 from galeframe.operators.quantiles import exact_quantiles
 
 
@@ -121,25 +121,77 @@ def cumulative_histogram(df: DataFrame, value: str, bins: int = 25) -> DataFrame
 
 def lag_correlation(
     df: DataFrame, lags: Sequence[int], keys: Sequence[str] = ("site",), time: str = "date",
-    value: str = "power",
+    value: str = "power", span: int = 4096,
 ) -> DataFrame:
-    """Correlation of a series with its own past, by row position, one row per lag."""
-    lags = list(lags)
-    lagged = shifted(df.select(*keys, time, value), keys, time, value, lags, "lag_")
-    pairs = F.array(
-        *[F.struct(F.lit(k).alias("lag"), F.col(f"lag_{k}").alias("_b")) for k in lags]
-    )
-    rows = lagged.select(*keys, F.col(value).alias("_a"), F.explode(pairs).alias("_p"))
-    return _correlated(rows.select(*keys, "_a", "_p.*"), [*keys, "lag"])
-
+    """Correlation of a series with its own past, by row position, one row per lag.
 
-def _correlated(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Pearson correlation of columns ``_a`` and ``_b`` per group, over the rows that have
-    both; NULL where one of them is constant. One small aggregate per group, combined on the
-    map side, in place of hundreds of aggregate expressions over wide rows."""
-    both = pairs.filter(F.col("_a").isNotNull() & F.col("_b").isNotNull())
-    spread = F.nullif(F.stddev_pop("_a") * F.stddev_pop("_b"), F.lit(0.0))
-    return both.groupBy(*keys).agg((F.covar_pop("_a", "_b") / spread).alias("corr"))
+    The rows are never copied per lag. A task holds a chunk of ``span`` rows with the longest lag
+    in front of it, takes the moments of all lags from it by matrix products, and sends a row per
+    chunk and lag. Missing values (NULL or NaN) leave their pairs out. NULL where one side is
+    constant; a lag without any pair has no row.
+    """
+    lags = sorted(set(lags))
+    if lags and lags[0] < 1:
+        raise ValueError("a lag is at least one row")
+    keys, back = list(keys), max(lags, default=0)
+    numbered = number_rows(df.select(*keys, time, F.col(value).cast("double").alias("_v")), keys, time, "_pos")
+    spread = spread_chunks(numbered, keys, F.col("_pos"), max(span, back), back)
+    fields = ["n", "mi", "mj", "sii", "sjj", "sij", "loi", "hii", "loj", "hij"]
+
+    def moments(chunk: pd.DataFrame) -> pd.DataFrame:
+        chunk = chunk.sort_values("_axis")
+        own = int(chunk["_own"].sum())
+        halo = len(chunk) - own
+        series = np.concatenate([np.full(back - halo, np.nan), chunk["_v"].to_numpy(dtype=float)])
+        seen = ~np.isnan(series)
+        if not own or not seen.any():
+            return pd.DataFrame({c: [] for c in [*keys, "lag", *fields]})
+        shift = series[seen][0]
+        shifted_ = np.where(seen, series - shift, 0.0)
+
+        def past(x: np.ndarray) -> np.ndarray:
+            return np.lib.stride_tricks.sliding_window_view(x, back + 1)[:, ::-1][:, lags]
+
+        x, m, y, w = shifted_[back:], seen[back:].astype(float), past(shifted_), past(seen)
+        mask = w.astype(float)
+        n = m @ mask
+        safe = np.maximum(n, 1.0)
+        si, sj = x @ mask, m @ y
+        both = w & seen[back:, None]
+        side = np.broadcast_to(x[:, None], y.shape)
+        out = {
+            "n": n, "mi": shift + si / safe, "mj": shift + sj / safe,
+            "sii": (x * x) @ mask - si * si / safe, "sjj": m @ (y * y) - sj * sj / safe, "sij": x @ y - si * sj / safe,
+            "loi": np.where(both, side, np.inf).min(0) + shift, "hii": np.where(both, side, -np.inf).max(0) + shift,
+            "loj": np.where(both, y, np.inf).min(0) + shift, "hij": np.where(both, y, -np.inf).max(0) + shift,
+        }
+        return pd.DataFrame({**{k: chunk[k].iloc[0] for k in keys}, "lag": lags, **out})
+
+    named = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+    schema = f"{named}, lag int, " + ", ".join(f"{c} double" for c in fields)
+    grouped = spread.select(*keys, CHUNK, "_axis", "_own", "_v").groupBy(*keys, CHUNK)
+    extremes = {"loi": F.min("loi"), "hii": F.max("hii"), "loj": F.min("loj"), "hij": F.max("hij")}
+    pooled = _pooled(grouped.applyInPandas(moments, schema), [*keys, "lag"], **extremes)
+    varied = (F.col("loi") < F.col("hii")) & (F.col("loj") < F.col("hij"))
+    return pooled.select(*keys, "lag", F.when(varied, _corr()).alias("corr"))
+
+
+def _corr() -> Column:
+    return F.col("sij") / F.nullif(F.sqrt(F.col("sii") * F.col("sjj")), F.lit(0.0))
+
+
+def _pooled(parts: DataFrame, keys: Sequence[str], **more: Column) -> DataFrame:
+    """Pair moments of disjoint sets of rows, merged about the common mean of their group."""
+    group = Window.partitionBy(*keys)
+    centre = {c: F.sum(F.col("n") * F.col(c)).over(group) / F.sum("n").over(group) for c in ("mi", "mj")}
+    placed = parts.filter(F.col("n") > 0).select("*", centre["mi"].alias("_ci"), centre["mj"].alias("_cj"))
+    di, dj = F.col("mi") - F.col("_ci"), F.col("mj") - F.col("_cj")
+    return placed.groupBy(*keys).agg(
+        F.sum(F.col("sii") + F.col("n") * di * di).alias("sii"),
+        F.sum(F.col("sjj") + F.col("n") * dj * dj).alias("sjj"),
+        F.sum(F.col("sij") + F.col("n") * di * dj).alias("sij"),
+        *[c.alias(name) for name, c in more.items()],
+    )
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -183,21 +235,10 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         moments,
         "n double, mi double, mj double, sii double, sjj double, sij double, i int, j int",
     )
-    pair = Window.partitionBy("i", "j")
-    centre = {c: F.sum(F.col("n") * F.col(c)).over(pair) / F.sum("n").over(pair) for c in ("mi", "mj")}
-    placed = parts.filter(F.col("n") > 0).select(
-        "*", centre["mi"].alias("_ci"), centre["mj"].alias("_cj")
-    )
-    di, dj = F.col("mi") - F.col("_ci"), F.col("mj") - F.col("_cj")
-    merged = placed.groupBy("i", "j").agg(
-        F.sum(F.col("sii") + F.col("n") * di * di).alias("sii"),
-        F.sum(F.col("sjj") + F.col("n") * dj * dj).alias("sjj"),
-        F.sum(F.col("sij") + F.col("n") * di * dj).alias("sij"),
-    )
+    merged = _pooled(parts, ["i", "j"])
     names = F.lit(columns)
-    corr = F.col("sij") / F.nullif(F.sqrt(F.col("sii") * F.col("sjj")), F.lit(0.0))
     table = merged.select(
-        F.get(names, F.col("i")).alias("x"), F.get(names, F.col("j")).alias("y"), corr.alias("corr")
+        F.get(names, F.col("i")).alias("x"), F.get(names, F.col("j")).alias("y"), _corr().alias("corr")
     )
     sides = F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
     both = F.when(F.col("x") == F.col("y"), F.slice(sides, 1, 1)).otherwise(sides)
@@ -275,9 +316,9 @@ def power_curve(df: DataFrame, width: float = 1.0, keys: Sequence[str] = ("site"
 def kde_grid(df: DataFrame, x: str, y: str, bins: int = 100) -> DataFrame:
     """Exact Gaussian kernel density of (x, y) on a ``bins`` x ``bins`` grid over the data range.
 
-    Bandwidth by Scott's rule on the full covariance. Equal points are counted first; each
-    point then adds its kernel to the fixed grid cells inside its own task, where the partial
-    sums are combined, so the shuffle carries at most ``bins**2`` rows per task.
+    Bandwidth by Scott's rule on the full covariance. Equal points are counted first; a task
+    folds its Arrow batches into one grid of sums, a matrix product per grid line, so no row is
+    made per point and cell and the shuffle carries ``bins**2`` rows per task.
     """
     points = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         F.col(x).alias("_x"), F.col(y).alias("_y")
@@ -313,16 +354,28 @@ def kde_grid(df: DataFrame, x: str, y: str, bins: int = 100) -> DataFrame:
     )
     # Few bytes but bins**2 kernels per row: keep adaptive coalescing from merging the tasks.
     weighted = weighted.repartition(spread)
+    step = np.arange(bins)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, k = np.zeros((bins, bins)), None
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part = batch.iloc[at : at + 512]
+                # The same shape stands on every row.
+                x0, y0, dx, dy, a, b, c, k = part[list(shape_fields)].iloc[0]
+                px, py, w = (part[name].to_numpy(dtype=float) for name in ("_x", "_y", "_w"))
+                gx = x0 + step * dx
+                for j in range(bins):
+                    ey = y0 + j * dy - py
+                    weight = w * np.exp(-0.5 * (c - b * b / a) * ey * ey)
+                    ex = gx - (px - b / a * ey)[:, None]
+                    total[:, j] += weight @ np.exp(-0.5 * a * ex * ex)
+        if k is not None:
+            yield pd.DataFrame({"i": np.repeat(step, bins), "j": np.tile(step, bins), "part": k * total.ravel()})
+
+    shape_fields = ("x0", "y0", "dx", "dy", "a", "b", "c", "k")
     placed = weighted.withColumn("_s", shape.scalar()).select("_x", "_y", "_w", "_s.*")
-    cells = placed.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).withColumn(
-        "_j", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))
-    )
-    ex = F.col("x0") + F.col("_i") * F.col("dx") - F.col("_x")
-    ey = F.col("y0") + F.col("_j") * F.col("dy") - F.col("_y")
-    form = F.col("a") * ex * ex + F.lit(2.0) * F.col("b") * ex * ey + F.col("c") * ey * ey
-    return cells.groupBy(F.col("_i").alias("i"), F.col("_j").alias("j")).agg(
-        (F.sum(F.col("_w") * F.exp(F.lit(-0.5) * form)) * F.max("k")).alias("density")
-    )
+    return placed.mapInPandas(fold, "i int, j int, part double").groupBy("i", "j").agg(F.sum("part").alias("density"))
 
 
 def compare_slice(
