@@ -38,7 +38,7 @@ def _(spark, sf):
 
 @query("kmeans_elbow")
 def _(spark, sf):
-    return outliers.kmeans_elbow(zero_rows(spark, sf), ks=(2, 7, 12, 17))
+    return outliers.kmeans_elbow(zero_rows(spark, sf))
 
 
 @query("x7_abnormal_scatter")
