@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from galeframe.functions import binary_label
+from galeframe.functions import add_hours, binary_label, hour_number
 from galeframe.operators import joins, metrics, scoring, splits
 from galeframe.operators.filters import trainable
 from galeframe.operators.ordered import shifted
@@ -42,6 +42,30 @@ def _(spark, sf):
     return splits.time_split(views.obs_sparse(spark, sf), "date", 0.9)
 
 
+_WINDOW = 84
+
+
+@query(
+    "purged_split",
+    f"""WITH w AS (SELECT site, date AS start, CAST(floor(datediff('hour', TIMESTAMP '2024-01-01', date) / 168e0) AS BIGINT) AS week
+              FROM obs WHERE date <= (SELECT max(date) FROM obs) - INTERVAL {_WINDOW - 1} HOUR),
+            s AS (SELECT *, CASE WHEN {share_sql('site', 'week')} < 9e-1 THEN 'train' ELSE 'test' END AS split FROM w),
+            t AS (SELECT DISTINCT site, week, min(start) OVER x AS lo, max(start) OVER x AS hi FROM s WHERE split = 'test'
+              WINDOW x AS (PARTITION BY site, week))
+       SELECT site, start, CASE WHEN split = 'train' AND EXISTS (SELECT 1 FROM t WHERE t.site = s.site
+              AND t.lo < s.start + INTERVAL {_WINDOW} HOUR AND t.hi > s.start - INTERVAL {_WINDOW} HOUR)
+              THEN 'purged' ELSE split END AS split FROM s""",
+)
+def _(spark, sf):
+    """Windows of 36 + 48 hours from every hour on; tests are whole weeks of a site."""
+    obs = views.obs(spark, sf).select("site", F.col("date").alias("start"))
+    last = views.table(spark, sf, "events").agg(F.date_trunc("hour", F.max("ts")).cast("timestamp_ntz")).scalar()
+    whole = obs.filter(F.col("start") <= add_hours(last, F.lit(1 - _WINDOW)))
+    weeks = whole.withColumn("week", F.floor(hour_number("start") / 168))
+    marked = splits.hash_split(weeks, ["site", "week"], 0.9).drop("week")
+    return splits.purged_split(marked, "start", _WINDOW)
+
+
 _TRAINABLE = """t AS (SELECT site, date, start, power, ws FROM features
                       WHERE power >= 5e-2 AND flag)"""
 

@@ -33,7 +33,7 @@ compare_slice metric_log_pivot
 CHECKED = """
 rmse_by_site lag_join_history extend_horizon interpolate_linear rolling_stats sequence_dataset
 history_plus_run update_features category_pivot_join box_stats minmax_fit_subset
-clean_sigma hash_split pinball_loss wind_rose feature_correlation recursive_forecast scan_sites
+clean_sigma hash_split purged_split pinball_loss wind_rose feature_correlation recursive_forecast scan_sites
 feature_table
 """.split()
 

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from series_times import hour_of
+from series_times import T0, hour_of
 from galeframe.operators import explore, metrics, scoring, splits
 
 
@@ -121,3 +121,80 @@ def test_density_matches_direct_sum(spark):
         want = np.exp(-0.5 * np.einsum("ik,ij,jk->k", d, inv, d)).sum() / norm
         assert density == pytest.approx(want, rel=1e-9)
     assert len(got) == 49
+
+
+def test_lag_correlation_against_direct(spark, series):
+    rng = np.random.default_rng(3)
+    data = {
+        1: {h: v for h, v in enumerate(rng.random(60)) if h % 9},  # gaps in time do not count
+        2: {h: (None if h % 5 == 0 else v) for h, v in enumerate(rng.random(40))},
+        3: {h: 0.3 for h in range(30)},  # constant
+        4: {h: h for h in range(3)},  # shorter than the longest lag
+        5: {h: (0.7 if h < 20 else v) for h, v in enumerate(rng.random(23))},
+        6: {h: None for h in range(9)},
+    }
+    lags = (5, 1, 2, 19, 21)
+    got = {(r.site, r.lag): r.corr for r in explore.lag_correlation(series(data), lags, span=7).collect()}
+    want = {}
+    for site, points in data.items():
+        v = np.array([np.nan if points[h] is None else points[h] for h in sorted(points)], dtype=float)
+        for k in lags:
+            a, b = v[k:], v[:-k]
+            both = ~np.isnan(a) & ~np.isnan(b)
+            if both.any():
+                a, b = a[both], b[both]
+                want[site, k] = np.corrcoef(a, b)[0, 1] if np.ptp(a) and np.ptp(b) else None
+    assert got.keys() == want.keys()
+    for at, corr in want.items():
+        assert got[at] is None if corr is None else got[at] == pytest.approx(corr, abs=1e-9), at
+    assert got[3, 1] is None and got[5, 21] is None
+    with pytest.raises(ValueError):
+        explore.lag_correlation(series(data), [0])
+
+
+def test_lag_correlation_sends_a_row_per_chunk_and_lag(spark, series):
+    seen = []
+    pooled = explore._pooled
+    try:
+        explore._pooled = lambda parts, keys, **more: (seen.append(parts), pooled(parts, keys, **more))[1]
+        explore.lag_correlation(series({1: {h: h % 7 for h in range(100)}}), range(1, 11), span=25)
+    finally:
+        explore._pooled = pooled
+    assert seen[0].count() <= 5 * 10
+
+
+def test_density_of_many_batches(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, 1500)
+    y = 3 * x + rng.normal(0, 0.1, 1500)  # nearly on a line
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)] + [(None, 1.0), (1.0, None)], "x double, y double")
+    got = {(r.i, r.j): r.density for r in explore.kde_grid(df, "x", "y", 9).collect()}
+    cov = np.cov(x, y) * 1500 ** (-1 / 3)
+    inv, norm = np.linalg.inv(cov), 2 * np.pi * np.sqrt(np.linalg.det(cov)) * 1500
+    for (i, j), density in got.items():
+        d = np.stack([np.linspace(x.min(), x.max(), 9)[i] - x, np.linspace(y.min(), y.max(), 9)[j] - y])
+        want = np.exp(-0.5 * np.einsum("ik,ij,jk->k", d, inv, d)).sum() / norm
+        assert density == pytest.approx(want, rel=1e-6, abs=1e-12)
+    assert len(got) == 81
+
+
+def test_purged_split_against_all_pairs(spark, series):
+    rng = np.random.default_rng(8)
+    for hours in (1, 2, 5, 24):
+        df = series({s: {int(h): 0 for h in rng.choice(300, 120, replace=False) - 100} for s in (1, 2, 3)})
+        roles = F.when(F.pmod(F.xxhash64("site", "date"), F.lit(40)) == 0, "test")
+        roles = roles.when(F.pmod(F.xxhash64("date"), F.lit(9)) == 0, "valid").otherwise("train")
+        # A site without tests, rows without a start or a site, repeated rows, a column more.
+        rows = df.withColumn("split", F.when(F.col("site") == 3, "train").otherwise(roles)).withColumn("_kept", F.lit(1))
+        more = spark.createDataFrame([(1, None, 0.0, "train", 1), (None, T0, 0.0, "train", 1)], rows.schema)
+        rows = rows.unionByName(rows.filter("site = 1")).unionByName(more).cache()
+        got = splits.purged_split(rows, "date", hours)
+        assert got.columns == rows.columns
+        tests = [(r.site, r.date) for r in rows.filter("split = 'test'").collect()]
+        want = []
+        for r in rows.collect():
+            near = r.site is not None and r.date is not None and any(s == r.site and abs((t - r.date).total_seconds()) < 3600 * hours for s, t in tests)
+            want.append((r.site, r.date, "purged" if near and r.split == "train" else r.split))
+        assert sorted(map(str, want)) == sorted(str((r.site, r.date, r.split)) for r in got.collect())
+        assert hours < 2 or got.filter("split = 'purged'").count()
+        rows.unpersist()
