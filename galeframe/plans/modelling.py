@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from galeframe.functions import binary_label, class_label, class_to_power, decode_class
-from galeframe.operators import joins, metrics, models, outliers, recursion, splits, trees
+from galeframe.functions import binary_label, class_label, class_to_power, decode_class, hour_number
+from galeframe.operators import joins, metrics, models, networks, outliers, recursion, splits, trees
 from galeframe.operators.sequences import channel_swap, cut_windows
 from galeframe.plans import views
 from galeframe.plans.registry import query
+from galeframe.session import durable
 
 FEATURES = ["site", "dist", "hour", "u", "v", "ws", "wd"]
 
@@ -244,6 +245,23 @@ def _(spark, sf):
     return scored
 
 
+@query("window_network")
+def _(spark, sf):
+    """Windows of 36 + 48 hours from every hour on; tests are whole weeks, purged of shared hours."""
+    cut = cut_windows(near(spark, sf).filter("flag"), ["dist", "ws", "ws_power", "power"], 84)
+    swapped = channel_swap(cut, ["dist", "ws"], 36, 48)
+    x = F.concat(F.transform("x", lambda r: r["power_in"]), F.transform("x", lambda r: r["ws"]))
+    rows = swapped.select("site", "window_start", x.alias("x"), "y", F.floor(hour_number("window_start") / 168).alias("week"))
+    # Cut once: the purge reads the windows twice, the fit and the scores once more each.
+    rows = durable(splits.hash_split(rows, ["site", "week"], 0.9))
+    marked = splits.purged_split(rows, "window_start", 84)
+    train = marked.filter("split = 'train'")
+    network = networks.fit_network(train, "x", "y", ["site", "window_start"], 168, 48, networks.Settings(hidden=(64,)))
+    scored = networks.score_network(marked.filter("split = 'test'"), network, "x")
+    steps = F.arrays_zip(F.col("y"), F.col("predicted"))
+    return metrics.packed_window_rmse(scored.withColumn("steps", steps), 0, 48, "y", "predicted", ["site"])
+
+
 _DEPTH = 36
 _WEIGHTS = [0.5 ** (k + 1) for k in range(_DEPTH)]
 
