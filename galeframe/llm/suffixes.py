@@ -24,6 +24,7 @@ spreads them over all parts.
 from __future__ import annotations
 
 import hashlib
+import secrets
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +40,8 @@ REACH = LENGTH - GRAM + 1
 #: Offset at which the second 32 bytes of a string begin; they overlap the first.
 LATE = LENGTH - 2 * GRAM
 STRIDE = 1 << 20
+#: Salt of names that only one process uses.
+SALT = secrets.randbits(64)
 
 
 @dataclass(frozen=True)
@@ -65,24 +68,28 @@ def _words(raw: np.ndarray) -> np.ndarray:
     return np.ndarray((len(raw) - 7,), np.uint64, raw, strides=(1,))
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Names of the buckets whose halves have these names."""
-    z = (a ^ _u64(0x243F6A8885A308D3)) * _u64(0x9E3779B97F4A7C15)
-    z ^= z >> _u64(29)
+def _pair(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+    """Names of the buckets whose halves have these names.
+
+    The salt is drawn anew for every job and mixed into all bits of the first half before the second
+    one meets it, so that no texts can be made, nor happen by their pattern, to get one name.
+    """
+    z = _mixed(a ^ _u64(salt))
     z ^= b
     z *= _u64(0x9E3779B97F4A7C15)
     return _mixed(z ^ (z >> _u64(32)))
 
 
-def _doubled(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _doubled(raw: np.ndarray, at: np.ndarray, salt: int) -> np.ndarray:
     """Names of the 32-byte buckets at each place, of those of 16 bytes there and 16 bytes later."""
     words = _words(raw)
-    return _pair(_pair(words[at], words[8:][at]), _pair(words[GRAM:][at], words[GRAM + 8 :][at]))
+    first = _pair(words[at], words[8:][at], salt)
+    return _pair(first, _pair(words[GRAM:][at], words[GRAM + 8 :][at], salt), salt)
 
 
-def string_ids(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+def string_ids(raw: np.ndarray, at: np.ndarray, salt: int = SALT) -> np.ndarray:
     """Names of the 50-byte strings that start at each place, of those of 32 bytes there and 18 bytes later."""
-    return _pair(_doubled(raw, at), _doubled(raw, at + LATE))
+    return _pair(_doubled(raw, at, salt), _doubled(raw, at + LATE, salt), salt)
 
 
 def _numbered(names: np.ndarray) -> np.ndarray:
@@ -94,13 +101,13 @@ def _numbered(names: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated(raw: np.ndarray, at: np.ndarray, docs: np.ndarray) -> np.ndarray:
+def repeated(raw: np.ndarray, at: np.ndarray, docs: np.ndarray, salt: int = SALT) -> np.ndarray:
     """Whether the 50-byte string at each place is also that of a smaller document, by refinement of buckets."""
     wanted = np.zeros(len(raw), bool)
     wanted[at] = wanted[at + LATE] = True
     places = np.flatnonzero(wanted)
     bucket = np.zeros(len(raw), np.uint32)
-    bucket[places] = _numbered(_doubled(raw, places))
+    bucket[places] = _numbered(_doubled(raw, places, salt))
     several = np.bincount(bucket[places]) > 1
     left = np.flatnonzero(several[bucket[at]] & several[bucket[at + LATE]]) if len(at) else np.zeros(0, np.int64)
     here = at[left]
@@ -110,8 +117,8 @@ def repeated(raw: np.ndarray, at: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _named_contexts(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    return _mixed(string_ids(raw, first) ^ (string_ids(raw, last) * _u64(3)) ^ (last - first).astype(np.uint64))
+def _named_contexts(raw: np.ndarray, first: np.ndarray, last: np.ndarray, salt: int) -> np.ndarray:
+    return _pair(string_ids(raw, first, salt), string_ids(raw, last, salt) + (last - first).astype(np.uint64), salt)
 
 
 class Texts:
@@ -168,9 +175,9 @@ class Texts:
             return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3
         return tuple(np.concatenate(x) for x in zip(*out))
 
-    def contexts(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    def contexts(self, lo: np.ndarray, hi: np.ndarray, salt: int) -> np.ndarray:
         """Identifiers of the bytes from each first string to the end of its last one."""
-        return _named_contexts(self.raw, lo, hi)
+        return _named_contexts(self.raw, lo, hi, salt)
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -260,10 +267,12 @@ def deduplicate(
     The columns named in ``carry`` come along.
     NULL texts count as empty. Rows without an id neither lose nor cost bytes, and rows of one id
     don't cost each other any. Strings are told apart by 64-bit names of their halves or, if a gram
-    of theirs is crowded, of the whole.
+    of theirs is crowded, of the whole; the names hang on a salt that every call draws.
     """
     dealt, parts = _dealt(docs, key, text, list(carry), settings)
     crowd = settings.crowded
+    # Drawn here and carried by the tasks, so that all of them, and a task run again, use the same names.
+    salt = secrets.randbits(64)
 
     def asks(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
@@ -309,7 +318,7 @@ def deduplicate(
             h = h >> _u64(16)
             calm = _held(h, keys_of(replies, "calm"))
             lo_, hi_, ids = lo[calm], hi[calm], own.ids[doc[calm]]
-            names, least, where = _least(own.contexts(lo_, hi_), ids)
+            names, least, where = _least(own.contexts(lo_, hi_, salt), ids)
             first = np.full(len(names), -1, np.int64)
             first[where[::-1]] = np.arange(len(where))[::-1]  # a place that shows each context
             grams, lo_, size = h[calm][first], lo_[first], hi_[first] - lo_[first] + LENGTH
@@ -320,7 +329,7 @@ def deduplicate(
             if len(hot):
                 count = hi[hot] - lo[hot] + 1
                 at = np.repeat(lo[hot] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                names, least, _ = _least(string_ids(own.raw, at), np.repeat(own.ids[doc[hot]], count))
+                names, least, _ = _least(string_ids(own.raw, at, salt), np.repeat(own.ids[doc[hot]], count))
                 for part, i in _by_part(names, parts):
                     rows.append((1, part, bucket, _pack(least[i]), b"", _pack_sorted(names[i])))
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -349,10 +358,10 @@ def deduplicate(
             count = size - LENGTH + 1
             head = np.cumsum(count) - count
             at = np.repeat(start - head, count) + np.arange(count.sum())
-            found = repeated(raw, at, np.repeat(flat, count))
+            found = repeated(raw, at, np.repeat(flat, count), salt)
             bits = found.astype(np.uint64) << (np.arange(len(at)) - np.repeat(head, count)).astype(np.uint64)
             mask = np.bitwise_or.reduceat(bits, head)
-            context = _named_contexts(raw, at[head], at[head + count - 1])
+            context = _named_contexts(raw, at[head], at[head + count - 1], salt)
             done = 0
             for bucket, own in zip(buckets, ids):
                 i = np.flatnonzero(mask[done : done + len(own)]) + done
@@ -367,7 +376,7 @@ def deduplicate(
         h, doc, lo, hi = own.anchors()
         if not len(h):
             return np.zeros(0, np.int64)
-        names, least, where = _least(own.contexts(lo, hi), own.ids[doc])
+        names, least, where = _least(own.contexts(lo, hi, salt), own.ids[doc])
         mask = np.zeros(len(names), np.uint64)
         for c, m in zip(replies.column("contexts").to_pylist(), replies.column("masks").to_pylist()):
             if c:
@@ -385,7 +394,7 @@ def deduplicate(
             count = hi[hot] - lo[hot] + 1
             at = np.repeat(lo[hot] - (np.cumsum(count) - count), count) + np.arange(count.sum())
             ids = np.repeat(own.ids[doc[hot]], count)
-            strings = string_ids(own.raw, at)
+            strings = string_ids(own.raw, at, salt)
             _, least, where = _least(strings, ids)
             out.append(at[(least[where] < ids) | _held(strings, keys_of(replies, "strings"))])
         return np.concatenate(out)

@@ -90,5 +90,16 @@ def test_refinement_equals_grouping_by_bytes():
     assert len(set(suffixes.string_ids(raw, at))) == len(least)
 
 
+def test_strings_made_to_get_one_name_stay_apart(spark):
+    """The halves of these differ by what the names without a salt lost."""
+    same = "x" * 34
+    made = ["jntxbqdv@OO``OOO" + same, "cnjwdctq#@RO'ZTP" + same]
+    rows = [(i, t) for i, t in enumerate(made)]
+    got = suffixes.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((False, r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute(rows)
+    raw = np.frombuffer("".join(made).encode() + bytes(128), np.uint8)
+    assert list(suffixes.repeated(raw, np.array([0, 50]), np.array([1, 2]))) == [False, False]
+
+
 def test_empty_table(nothing):
     assert suffixes.deduplicate(nothing).count() == 0
