@@ -40,8 +40,12 @@ REACH = LENGTH - GRAM + 1
 #: Offset at which the second 32 bytes of a string begin; they overlap the first.
 LATE = LENGTH - 2 * GRAM
 STRIDE = 1 << 20
+#: A part settles its contexts in so many slices, one after the other, by the upper bits of their 48-bit grams.
+SLICES = 16
 #: Salt of names that only one process uses.
 SALT = secrets.randbits(64)
+# A string's gram is the least of 35, so the slices hold about as many strings each if cut at quantiles of that least.
+_SLICE_BOUNDS = ((1 - (1 - np.arange(SLICES + 1) / SLICES) ** (1 / REACH)) * (1 << 48)).astype(np.uint64)
 
 
 @dataclass(frozen=True)
@@ -117,6 +121,28 @@ def repeated(raw: np.ndarray, at: np.ndarray, docs: np.ndarray, salt: int = SALT
     return out
 
 
+def _masks(raw: np.ndarray, size: np.ndarray, ids: np.ndarray, salt: int) -> np.ndarray:
+    """Of each context, the strings (as bits) that a smaller document holds; ``raw`` has the contexts in a row."""
+    start = np.cumsum(size) - size
+    count = size - LENGTH + 1
+    head = np.cumsum(count) - count
+    at = np.repeat(start - head, count) + np.arange(count.sum())
+    found = repeated(raw, at, np.repeat(ids, count), salt)
+    bits = found.astype(np.uint64) << (np.arange(len(at)) - np.repeat(head, count)).astype(np.uint64)
+    return np.bitwise_or.reduceat(bits, head)
+
+
+def covered(found: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` bytes lie in a string that starts at one of the places found."""
+    edge = np.zeros(n + 1, np.int8)
+    if len(found):
+        found = np.unique(found)
+        apart = np.diff(found) > LENGTH
+        edge[found[np.append(True, apart)]] = 1
+        edge[found[np.append(apart, True)] + LENGTH] = -1
+    return np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+
+
 def _named_contexts(raw: np.ndarray, first: np.ndarray, last: np.ndarray, salt: int) -> np.ndarray:
     return _pair(string_ids(raw, first, salt), string_ids(raw, last, salt) + (last - first).astype(np.uint64), salt)
 
@@ -170,10 +196,15 @@ class Texts:
             new[1:] = (place[i[1:]] != place[i[:-1]]) | (doc[i[1:]] != doc[i[:-1]]) | (i[1:] != i[:-1] + 1)
             head = np.flatnonzero(new)
             tail = np.append(head[1:], len(i)) - 1
-            out.append((h[place[i[head]]], doc[i[head]].astype(np.int64), i[head] + s, i[tail] + s))
+            out.append((h[place[i[head]]], doc[i[head]].astype(np.int64), i[head] + s, i[tail] + s, place[i[head]] + s))
         if not out:
             return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3
-        return tuple(np.concatenate(x) for x in zip(*out))
+        grams, docs, firsts, lasts, places = (np.concatenate(x) for x in zip(*out))
+        # A run that a stride cut apart is one again: passes may meet the texts of a bucket in another order.
+        new = np.ones(len(grams), bool)
+        new[1:] = (places[1:] != places[:-1]) | (docs[1:] != docs[:-1]) | (firsts[1:] != lasts[:-1] + 1)
+        head = np.flatnonzero(new)
+        return grams[head], docs[head], firsts[head], lasts[np.append(head[1:], len(grams)) - 1]
 
     def contexts(self, lo: np.ndarray, hi: np.ndarray, salt: int) -> np.ndarray:
         """Identifiers of the bytes from each first string to the end of its last one."""
@@ -324,16 +355,17 @@ def deduplicate(
             grams, lo_, size = h[calm][first], lo_[first], hi_[first] - lo_[first] + LENGTH
             for part, i in _by_part(grams, parts):
                 at = np.repeat(lo_[i] - (np.cumsum(size[i]) - size[i]), size[i]) + np.arange(size[i].sum())
-                rows.append((0, part, bucket, _pack(least[i]), _pack(size[i].astype(np.uint8)), _pack(own.raw[at])))
+                cuts = np.searchsorted(grams[i], _SLICE_BOUNDS).astype(np.int32)
+                rows.append((0, part, bucket, _pack(least[i]), _pack(size[i].astype(np.uint8)), _pack(own.raw[at]), _pack(cuts)))
             hot = np.flatnonzero(_held(h, keys_of(replies, "crowded")))
             if len(hot):
                 count = hi[hot] - lo[hot] + 1
                 at = np.repeat(lo[hot] - (np.cumsum(count) - count), count) + np.arange(count.sum())
                 names, least, _ = _least(string_ids(own.raw, at, salt), np.repeat(own.ids[doc[hot]], count))
                 for part, i in _by_part(names, parts):
-                    rows.append((1, part, bucket, _pack(least[i]), b"", _pack_sorted(names[i])))
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        return _table(rows, ["kind", "part", "bucket", "ids", "sizes", "data"], kinds)
+                    rows.append((1, part, bucket, _pack(least[i]), b"", _pack_sorted(names[i]), b""))
+        kinds = [pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+        return _table(rows, ["kind", "part", "bucket", "ids", "sizes", "data", "cuts"], kinds)
 
     def settled(group: pa.Table) -> pa.Table:
         kind = group.column("kind")[0].as_py()
@@ -351,23 +383,31 @@ def deduplicate(
                 if found.any():
                     rows.append((bucket, b"", b"", _pack_sorted(own[found])))
         else:
-            size = np.concatenate([_unpack(b, np.uint8) for b in group.column("sizes").to_pylist()]).astype(np.int64)
-            raw = np.concatenate([*(_unpack(b, np.uint8) for b in data), np.zeros(128, np.uint8)])
-            flat = np.concatenate(ids)
-            start = np.cumsum(size) - size
-            count = size - LENGTH + 1
-            head = np.cumsum(count) - count
-            at = np.repeat(start - head, count) + np.arange(count.sum())
-            found = repeated(raw, at, np.repeat(flat, count), salt)
-            bits = found.astype(np.uint64) << (np.arange(len(at)) - np.repeat(head, count)).astype(np.uint64)
-            mask = np.bitwise_or.reduceat(bits, head)
-            context = _named_contexts(raw, at[head], at[head + count - 1], salt)
-            done = 0
-            for bucket, own in zip(buckets, ids):
-                i = np.flatnonzero(mask[done : done + len(own)]) + done
-                done += len(own)
-                if len(i):
-                    i = i[np.argsort(context[i])]
+            sizes = [_unpack(b, np.uint8).astype(np.int64) for b in group.column("sizes").to_pylist()]
+            texts_of = [_unpack(b, np.uint8) for b in data]
+            cuts = [_unpack(b, np.int32) for b in group.column("cuts").to_pylist()]
+            ends = [np.append(0, np.cumsum(n)) for n in sizes]
+            found = [([], []) for _ in buckets]
+            # Equal strings have one gram, so every slice is settled by itself, in a fraction of the memory.
+            for k in range(SLICES):
+                at = [(c[k], c[k + 1]) for c in cuts]
+                size = np.concatenate([n[a:b] for n, (a, b) in zip(sizes, at)])
+                if not len(size):
+                    continue
+                raw = np.concatenate([*(t[e[a] : e[b]] for t, e, (a, b) in zip(texts_of, ends, at)), np.zeros(128, np.uint8)])
+                mask = _masks(raw, size, np.concatenate([i[a:b] for i, (a, b) in zip(ids, at)]), salt)
+                start = np.cumsum(size) - size
+                done = 0
+                for (a, b), (contexts, masks) in zip(at, found):
+                    i = np.flatnonzero(mask[done : done + b - a]) + done
+                    done += b - a
+                    if len(i):
+                        contexts.append(_named_contexts(raw, start[i], start[i] + size[i] - LENGTH, salt))
+                        masks.append(mask[i])
+            for bucket, (contexts, masks) in zip(buckets, found):
+                if contexts:
+                    context, mask = np.concatenate(contexts), np.concatenate(masks)
+                    i = np.argsort(context)
                     rows.append((bucket, _pack_sorted(context[i]), _pack(mask[i]), b""))
         return _table(rows, ["bucket", "contexts", "masks", "strings"], [pa.int32(), *[pa.binary()] * 3])
 
@@ -402,11 +442,7 @@ def deduplicate(
     def kept(group: pa.Table, replies: pa.Table) -> pa.Table:
         ids, given = group.column("id").to_pylist(), group.column("text").cast(pa.binary()).to_pylist()
         own = _texts(group)
-        cover = np.zeros(len(own.raw) + 1, np.int32)
-        found = repeats(own, replies)
-        cover += np.bincount(found, minlength=len(cover)).astype(np.int32)
-        cover -= np.bincount(found + LENGTH, minlength=len(cover)).astype(np.int32)
-        gone = np.cumsum(cover)[:-1] > 0
+        gone = covered(repeats(own, replies), len(own.raw))
         rows, live = [], 0
         for d, t in zip(ids, given):
             raw = t or b""
@@ -436,7 +472,7 @@ def deduplicate(
     asked = by_bucket.applyInArrow(asks, "part int, bucket int, keys binary, n binary")
     first = asked.groupBy("part").applyInArrow(shared, "bucket int, calm binary, crowded binary")
     contexts = by_bucket.cogroup(first.groupBy("bucket")).applyInArrow(
-        refined, "kind int, part int, bucket int, ids binary, sizes binary, data binary"
+        refined, "kind int, part int, bucket int, ids binary, sizes binary, data binary, cuts binary"
     )
     second = contexts.groupBy("kind", "part").applyInArrow(settled, "bucket int, contexts binary, masks binary, strings binary")
     crowded = first.filter("length(crowded) > 0").select("bucket", "crowded")

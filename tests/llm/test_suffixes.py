@@ -101,5 +101,36 @@ def test_strings_made_to_get_one_name_stay_apart(spark):
     assert list(suffixes.repeated(raw, np.array([0, 50]), np.array([1, 2]))) == [False, False]
 
 
+def test_contexts_hang_on_no_order_of_the_texts():
+    """Passes may meet the texts of a bucket in another order, and so cut elsewhere into strides."""
+    draw = np.random.default_rng(8)
+    texts = [bytes(draw.integers(97, 123, n, dtype=np.uint8)) for n in (900_000, 700_001, 800_003, 600_007)]
+
+    def contexts(order):
+        own = suffixes.Texts(list(order), [texts[k] for k in order])
+        _, doc, lo, hi = own.anchors()
+        return sorted(zip(own.ids[doc].tolist(), own.contexts(lo, hi, 5).tolist()))
+
+    assert contexts([0, 1, 2, 3]) == contexts([2, 0, 3, 1])
+
+
+def test_slices_of_a_part_are_about_even():
+    own = suffixes.Texts([1], [bytes(np.random.default_rng(4).integers(97, 123, 300_000, dtype=np.uint8))])
+    gram, _, lo, hi = own.anchors()
+    part = np.searchsorted(suffixes._SLICE_BOUNDS, gram >> np.uint64(16), side="right") - 1
+    strings = np.bincount(part, hi - lo + 1, suffixes.SLICES)
+    assert len(strings) == suffixes.SLICES and strings.sum() == 299_951
+    assert strings.max() < 2 * strings.mean() < 4 * strings.min()
+
+
+def test_covered_bytes_equal_those_of_every_string():
+    draw = np.random.default_rng(6)
+    for found in ([], [0], [350], [10, 60, 110, 161], draw.integers(0, 351, 6).tolist() * 2):
+        want = np.zeros(400, bool)
+        for k in found:
+            want[k : k + 50] = True
+        assert (suffixes.covered(np.array(found, np.int64), 400) == want).all()
+
+
 def test_empty_table(nothing):
     assert suffixes.deduplicate(nothing).count() == 0
