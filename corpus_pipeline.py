@@ -28,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The documents whose id is not among those ``gone``, which are broadcast if they are few."""
-    return docs.join(decontaminate.small(durable(gone)), "doc_id", "left_anti")
+    return docs.join(decontaminate.small(durable(gone, narrow=True)), "doc_id", "left_anti")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = simhash.near_duplicates(docs).filter("doc_id IS NOT NULL")
     copies = found.groupBy("doc_id").agg(F.bool_and(F.col("component") != F.col("doc_id")).alias("copy"))
     kept = _without(docs, copies.filter("copy").select("doc_id"))
-    again = durable(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1"))
+    again = durable(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1"), narrow=True)
     if not again.limit(1).count():
         return kept
     several = decontaminate.small(again.select("doc_id"))

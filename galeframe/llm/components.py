@@ -24,7 +24,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(
         F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
     )
-    edges = durable(edges.distinct())
+    edges = durable(edges.distinct(), narrow=True)
     mark = _mark(edges)
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -32,7 +32,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = durable(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = durable(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), narrow=True)
         last, mark = mark, _mark(edges)
         if mark == last:
             break

@@ -173,14 +173,14 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     probing = plan(prints, radius)
     keys = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(mask).alias("mask")) for g, (mask, _, _) in enumerate(probing)])
     index = prints.select("fp", F.explode(keys).alias("k")).select("fp", "k.g", F.col("fp").bitwiseAND(F.col("k.mask")).alias("value"))
-    index = durable(index)
+    index = durable(index, narrow=True)
     probes = None
     for g, (mask, bits, t) in enumerate(probing):
         flips = F.array(*[F.lit(x) for x in _flips(bits, t)])
         own = prints.select("fp", F.lit(g).alias("g"), F.col("fp").bitwiseAND(F.lit(mask)).alias("v"), F.explode(flips).alias("x"))
         own = own.select("fp", "g", F.col("v").bitwiseXOR(F.col("x")).alias("value"))
         probes = own if probes is None else probes.unionByName(own)
-    crowded = durable(index.groupBy("g", "value").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("g", "value"))
+    crowded = durable(index.groupBy("g", "value").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("g", "value"), narrow=True)
     calm = index.join(crowded, ["g", "value"], "left_anti")
     pairs = calm.withColumnRenamed("fp", "a").join(probes.withColumnRenamed("fp", "b"), ["g", "value"]).filter("a < b")
     found = pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
@@ -200,10 +200,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     member has one. Repeated rows are copies of one another.
     """
     own = durable(fingerprints(docs, key, text, shingle))
-    prints = durable(own.groupBy("fp").agg(F.min(key).alias("least")))
+    prints = durable(own.groupBy("fp").agg(F.min(key).alias("least")), narrow=True)
     joined = components(links(prints, radius), "a", "b").select(F.col("node").alias("fp"), "root")
     rooted = prints.join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     classes = durable(
-        rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
+        rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component"),
+        narrow=True,
     )
     return own.join(classes, "fp").select(key, "fp", "component")

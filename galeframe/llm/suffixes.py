@@ -39,7 +39,7 @@ LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM + 1
 #: Offset at which the second 32 bytes of a string begin; they overlap the first.
 LATE = LENGTH - 2 * GRAM
-STRIDE = 1 << 20
+STRIDE = 1 << 18
 #: A part settles its contexts in so many slices, one after the other, by the upper bits of their 48-bit grams.
 SLICES = 16
 #: Salt of names that only one process uses.

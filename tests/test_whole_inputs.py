@@ -7,6 +7,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 from series_times import T0
 
 from galeframe import session
@@ -120,3 +121,16 @@ def test_the_package_reaches_the_workers_from_any_folder(tmp_path):
         [sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120
     )
     assert "rows 4" in done.stdout, done.stderr[-2000:]
+
+
+def test_narrow_frames_are_kept_in_few_files(spark):
+    """One file a partition, most of them empty, would cost every executor hundreds of processes a round."""
+    from galeframe.session import NARROW_FILES, durable
+
+    most = NARROW_FILES * spark.sparkContext.defaultParallelism
+    spread = spark.range(1000).repartition(10 * most, F.col("id"))
+    kept = durable(spread, narrow=True)
+    assert kept.rdd.getNumPartitions() == most
+    assert {r.id for r in kept.collect()} == set(range(1000))
+    assert durable(spread.limit(3).coalesce(1), narrow=True).rdd.getNumPartitions() == 1
+    assert durable(spread).rdd.getNumPartitions() == 10 * most
