@@ -5,7 +5,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from galeframe.functions import hour_number
 from galeframe.operators.joins import join_power
+from galeframe.operators.ordered import number_rows, spread_chunks
 from galeframe.plans import views
 
 
@@ -57,3 +59,14 @@ def test_features_are_the_join_of_hours_and_runs(spark, folder):
     own = views.features(spark, folder).select(columns)
     assert own.count() == joined.count() > 0
     assert own.exceptAll(joined).count() == 0
+
+
+def test_hours_are_spread_over_all_tasks_however_few_bytes_they_are(spark, folder):
+    """By the bytes that it shuffles Spark would give all of these hours to one task."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hours = views.obs(spark, folder)
+    numbered = number_rows(hours.filter("site IS NOT NULL"), ["site"], "date", keep_chunk=True)
+    windowed = spread_chunks(hours, ["site"], hour_number("date"), 64, after=8)
+    for frame in (hours, numbered, windowed):
+        sizes = [r["count"] for r in frame.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == parts and max(sizes) < 2 * sum(sizes) / parts
