@@ -134,3 +134,42 @@ def test_narrow_frames_are_kept_in_few_files(spark):
     assert {r.id for r in kept.collect()} == set(range(1000))
     assert durable(spread.limit(3).coalesce(1), narrow=True).rdd.getNumPartitions() == 1
     assert durable(spread).rdd.getNumPartitions() == 10 * most
+
+
+def test_tables_that_grow_with_the_sites_are_not_broadcast(spark):
+    """They pack well, so that Spark would take them for small at run time."""
+    from galeframe.operators import ordered, recursion
+
+    times = [(s, T0 + h * HOUR, float(h), h < 60) for s in range(1, 6) for h in range(108)]
+    hours = spark.createDataFrame(times, "site int, date timestamp_ntz, power double, flag boolean")
+    asked = hours.select("site", F.col("date").alias("t"))
+    frames = {
+        "numbered": ordered.number_rows(hours, ["site"], "date"),
+        "islands": ordered.islands(hours, ["site"], "date"),
+        "known": joins.last_known(asked, "t", hours, "date", "power"),
+        "recent": joins.recent_rows(asked, "t", hours, "date", 3),
+        "blocks": recursion.blocks_with_context(hours, hours, ["power"], 36),
+    }
+    counts = {name: len(frame.collect()) for name, frame in frames.items()}
+    assert counts == {"numbered": 540, "islands": 540, "known": 540, "recent": 1590, "blocks": 5}
+    for name, frame in frames.items():
+        plan = frame._jdf.queryExecution().executedPlan().toString()  # as it was run
+        assert "isFinalPlan=true" in plan and "BroadcastHashJoin" not in plan, name
+
+
+def test_blocks_walk_without_a_group_for_each(spark):
+    from galeframe.operators import recursion
+
+    blocks = spark.createDataFrame(
+        [(s, T0, [1.0, 2.0, float(s)], [(float(k),) for k in range(4)]) for s in range(1, 8)],
+        "site int, start timestamp_ntz, past array<double>, ahead array<struct<ws: double>>",
+    )
+    walked = recursion.recursive_model(blocks, lambda past, hour: past[-1] + past[0] + hour["ws"], ["ws"])
+    assert "FlatMapGroups" not in walked._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.site, r.date): r.power for r in walked.collect()}
+    for s in range(1, 8):
+        series = [1.0, 2.0, float(s)]
+        for k in range(4):
+            series.append(series[-1] + series[-3] + k)
+            assert got[(s, T0 + (k + 1) * HOUR)] == series[-1]
+    assert len(got) == 28
