@@ -113,3 +113,19 @@ def test_evaluation_windows(spark):
     got = {hour_of(r.window_start): r for r in data.collect()}
     assert set(got) == {30, 35}
     assert [s.ws for s in got[30].x] == list(range(26, 35)) and got[30].y == list(range(30, 35))
+
+
+def test_windows_are_cut_outside_the_functions_of_places(spark, series):
+    """Inside such a function every slice would turn the whole chunk into objects first."""
+    hours = series({1: {h: h / 200 for h in range(200)}}).withColumns({"ws": F.col("power") * 2, "ws_power": F.col("power") * 3})
+    cut = op.cut_windows(hours, ["ws", "ws_power", "power"], 84)
+    swapped = op.channel_swap(cut, ["ws"], 36, 48)
+    plan = swapped._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" in plan
+    assert not [line for line in plan.splitlines() if "slice(" in line and "lambda" in line]
+    got = swapped.orderBy("window_start").collect()
+    assert len(got) == 200 - 84
+    for i, row in enumerate(got):
+        assert [r.ws for r in row.x] == [2 * h / 200 for h in range(i, i + 84)]
+        assert [r.power_in for r in row.x] == [h / 200 * (1 if h < i + 36 else 3) for h in range(i, i + 84)]
+        assert row.y == [h / 200 for h in range(i + 36, i + 84)]
