@@ -136,6 +136,23 @@ def test_narrow_frames_are_kept_in_few_files(spark):
     assert durable(spread).rdd.getNumPartitions() == 10 * most
 
 
+def test_rolling_widths_are_tiled_and_skip_unknown_values(spark):
+    rows = [(s, T0, d, None if (s + d) % 5 == 0 or s == 3 else float(d * 37 % 11)) for s in (1, 2, 3) for d in range(1, 61)]
+    runs = spark.createDataFrame(rows, "site int, start timestamp_ntz, dist int, ws double")
+    rolled = features.run_rolling(runs, ["ws"], [2, 12, 48, 17, 1])
+    plan = rolled._jdf.queryExecution().optimizedPlan().toString()
+    assert "RowFrame, -16" in plan  # a width that no other tiles keeps its frame
+    assert "RowFrame, -11" not in plan and "RowFrame, -47" not in plan
+    value = {(s, d): v for s, _, d, v in rows}
+    got = rolled.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        for w in (1, 2, 12, 17, 48):
+            seen = [v for d in range(max(1, r.dist - w + 1), r.dist + 1) if (v := value[(r.site, d)]) is not None]
+            own = (r[f"ws{w}_ws_mean"], r[f"ws{w}_ws_max"], r[f"ws{w}_ws_min"])
+            assert own == ((pytest.approx(sum(seen) / len(seen)), max(seen), min(seen)) if seen else (None, None, None))
+
+
 def test_tables_that_grow_with_the_sites_are_not_broadcast(spark):
     """They pack well, so that Spark would take them for small at run time."""
     from galeframe.operators import ordered, recursion
