@@ -6,8 +6,10 @@ from galeframe.functions import add_hours, hour_number
 from galeframe.operators import features as feat
 from galeframe.operators import joins as op
 from galeframe.operators.metrics import score
+from galeframe.operators.ordered import merged
 from galeframe.plans import views
 from galeframe.plans.registry import query
+from galeframe.session import durable
 
 KINDS = range(1, 6)
 
@@ -272,11 +274,11 @@ def _(spark, sf):
 def _(spark, sf):
     """The minimum slice: runs, valid times, power join, as-of persistence, error per site
     and lead category."""
-    features = views.features(spark, sf).select("site", "start", "catagory", "power")
-    issues = features.select("site", "start").distinct()
+    features = views.features(spark, sf, together=True).select("site", "start", "catagory", "power")
+    issues = durable(features.select("site", "start").distinct(), narrow=True)  # read three times
     predicted = op.last_known(
-        issues, "start", views.obs_masked(spark, sf), "date", "power", name="predicted"
+        issues, "start", views.obs_masked(spark, sf, together=True), "date", "power", name="predicted"
     )
     return score(
-        features.join(predicted, ["site", "start"]), "power", "predicted", ["site", "catagory"]
+        merged(features, predicted, ["site", "start"]), "power", "predicted", ["site", "catagory"]
     ).select("site", "catagory", "n", F.round("rmse", 9).alias("rmse"))

@@ -70,3 +70,17 @@ def test_hours_are_spread_over_all_tasks_however_few_bytes_they_are(spark, folde
     for frame in (hours, numbered, windowed):
         sizes = [r["count"] for r in frame.groupBy(F.spark_partition_id()).count().collect()]
         assert len(sizes) == parts and max(sizes) < 2 * sum(sizes) / parts
+
+
+@pytest.mark.parametrize("view", [views.obs, views.obs_masked, views.runs, views.features])
+def test_rows_are_the_same_in_both_layouts(spark, folder, view):
+    spread, together = view(spark, folder), view(spark, folder, together=True)
+    assert together.schema.simpleString() == spread.schema.simpleString()
+    assert together.exceptAll(spread).count() == 0 == spread.exceptAll(together).count()
+    assert int(str(plan_of(together).optimizedPlan().stats().sizeInBytes())) > 20 * spread.count()
+
+
+def test_a_run_lies_in_few_tasks_where_hours_are_kept_together(spark, folder):
+    rows = views.features(spark, folder, together=True)
+    tasks = rows.withColumn("task", F.spark_partition_id()).groupBy("site", "start").agg(F.count_distinct("task").alias("n"))
+    assert tasks.agg(F.max("n")).first()[0] == 1  # twenty days lie in one chunk
