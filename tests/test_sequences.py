@@ -129,3 +129,44 @@ def test_windows_are_cut_outside_the_functions_of_places(spark, series):
         assert [r.ws for r in row.x] == [2 * h / 200 for h in range(i, i + 84)]
         assert [r.power_in for r in row.x] == [h / 200 * (1 if h < i + 36 else 3) for h in range(i, i + 84)]
         assert row.y == [h / 200 for h in range(i + 36, i + 84)]
+
+
+def gappy_runs(spark, hours=400):
+    """Measured hours with gaps beside runs of 6 steps every 3 hours, some of them missing."""
+    rng = np.random.default_rng(1)
+    there = set(np.flatnonzero(rng.random(hours) < 0.985).tolist())
+    rows = [
+        (1, T0 + dt.timedelta(hours=s + k), T0 + dt.timedelta(hours=s), k, 1 if k <= 3 else 2, float(s + k / 10))
+        for s in range(0, hours, 3) if s % 15 for k in range(1, 7) if s + k in there
+    ]
+    return spark.createDataFrame(rows, "site int, date timestamp_ntz, start timestamp_ntz, dist int, catagory int, ws double")
+
+
+@pytest.mark.parametrize("stride", [1, 2])
+@pytest.mark.parametrize("issued_after", [-1, 5])
+def test_windows_meet_their_runs_without_a_shuffle_of_windows(spark, stride, issued_after):
+    features = gappy_runs(spark)
+    near = features.filter("catagory = 1")
+    cut = op.cut_windows(near, ["dist", "ws"], 8, stride, span=40)
+    runs = features.groupBy("site", "start").agg(F.array_sort(F.collect_list(F.struct("dist", "ws"))).alias("run"))
+    at = F.expr(f"window_start + interval {issued_after} hours")
+    want = cut.withColumn("start", at).join(runs, ["site", "start"]).collect()
+    got = op._windows_with_runs(near, features, ["dist", "ws"], ["dist", "ws"], 8, stride, issued_after, span=40)
+    found = {r.window_start: (r.steps, r._run) for r in got.collect()}
+    assert found == {r.window_start: (r.steps, r.run) for r in want} and len(found) > 5
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("SortMergeJoin")]
+    assert "Exchange" not in above and "Broadcast" not in plan[: plan.index("Generate")]
+
+
+def test_one_step_samples_of_every_hour(spark, tmp_path):
+    from galeframe.plans.registry import PLANS, SQL, load_all
+
+    load_all()
+    hours = "explode(sequence(timestamp_ntz'2024-01-01 00:30:00', timestamp_ntz'2024-01-07 00:30:00', interval 1 hour))"
+    events = spark.range(1).selectExpr(f"{hours} AS ts", "id AS user_id", "'a' AS event_type", "1.5d AS value")
+    events.selectExpr("monotonically_increasing_id() AS event_id", "*").write.parquet(f"{tmp_path}/events.parquet")
+    got = PLANS["objective_windows_category"](spark, str(tmp_path)).collect()
+    # Windows that a run was issued an hour before: hours 1, 13, 25 ... whose 84th hour behind is measured.
+    assert {hour_of(r.window_start) for r in got} == set(range(1, 144 - 84 + 1, 12))
+    assert "% 48" not in SQL["objective_windows_category"]
