@@ -170,3 +170,27 @@ def test_one_step_samples_of_every_hour(spark, tmp_path):
     # Windows that a run was issued an hour before: hours 1, 13, 25 ... whose 84th hour behind is measured.
     assert {hour_of(r.window_start) for r in got} == set(range(1, 144 - 84 + 1, 12))
     assert "% 48" not in SQL["objective_windows_category"]
+
+
+def test_no_table_of_windows_goes_through_the_driver(spark):
+    """By their packed bytes these pass for small at run time, however many sites there are."""
+    features = gappy_runs(spark).withColumn("flag", F.col("ws") < 200).withColumn("wd", F.lit(30.0))
+    model = F.transform("_history", lambda x: x)
+    updated = op.predict_and_update(features, model, "ws", 3, 3, 4)
+    updated.collect()
+    assert "Broadcast" not in updated._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_rows_are_not_sent_in_front_of_the_series(spark):
+    from galeframe.operators.ordered import spread_chunks
+
+    df = spark.range(20)
+    chunks = lambda **k: {r._chunk for r in spread_chunks(df, ["id"], F.col("id"), 8, 2, 3, **k).collect()}
+    assert chunks() == {-1, 0, 1, 2} and chunks(lowest=0) == {0, 1, 2}
+
+
+def test_rows_of_sequences_are_spread_once_before_they_are_packed(spark):
+    features = gappy_runs(spark).withColumns({"flag": F.lit(True), "power": F.col("ws"), "ws_power": F.col("ws")})
+    plan = op.sequence_dataset(features, ["dist", "ws"], 4, 4, 2)._jdf.queryExecution().executedPlan().toString()
+    # The number of a row and the choice of its lead need no partitioning of their own.
+    assert plan.count("REPARTITION_BY_NUM") == 3
